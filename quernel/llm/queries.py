@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.llm.decontaminate import contamination
 from quernel.llm.line_dedup import line_dedup
 from quernel.llm.sharding import shard
+from quernel.llm.simhash import simhash_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 13-word windows of benchmark items."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    leak = contamination(docs, _table(spark, sf_dir, "benchmark"), window=13).select("doc_id", "leak.n_words", "leak.n_hit", "leak.items")
+    return leak.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose 64-bit SimHashes of 4-word shingles are linked by four bits or fewer."""
+    return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; the digest is of the text that is left."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -25,6 +42,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+OP3_SQL = r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 13) AS k,
+         array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win))
+), h AS (
+  SELECT doc_id, i, g.k AS k, item FROM g JOIN win ON g.k = win.k AND g.w = win.w
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT dw.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
+"""
+
 OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -45,8 +92,8 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
+    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
