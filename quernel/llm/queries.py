@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.llm import language_id
 from quernel.llm.decontaminate import contamination
 from quernel.llm.line_dedup import line_dedup
 from quernel.llm.sharding import shard
@@ -30,6 +31,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-parsing language of every document; a fifth of the ids is held out from learning."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    model = language_id.learn(docs.where("not held_out"))
+    return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; the digest is of the text that is left."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -92,7 +100,7 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
+    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op6_language_id": op6_language_id, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
