@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import language_id
+from quernel.llm import language_id, secrets
 from quernel.llm.decontaminate import contamination
 from quernel.llm.line_dedup import line_dedup
 from quernel.llm.sharding import shard
@@ -38,6 +38,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the base patterns, and literals assigned to sensitive names."""
+    out = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", F.sha2("secrets.base", 256).alias("base_sha256"), "secrets.spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; the digest is of the text that is left."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -100,7 +106,7 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op6_language_id": op6_language_id, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
+    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
