@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import language_id, secrets
+from quernel.llm import chat_format, language_id, secrets, sentencepiece_codec
 from quernel.llm.decontaminate import contamination
 from quernel.llm.line_dedup import line_dedup
 from quernel.llm.sharding import shard
 from quernel.llm.simhash import simhash_components
 
 
+#: The public vocabulary that encodes the corpus, and the conversation that the formatting contract adds.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+PROBE = "</s>[INST] ok [/INST]"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Every document as piece ids; ``round_trip``: decoding them gives the text back."""
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-parsing language of every document; a fifth of the ids is held out from learning."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
@@ -50,6 +60,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(table.unionByName(probe.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema)))))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes; equal texts stay together."""
     out = shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
@@ -106,7 +123,7 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op10_sharding": op10_sharding}
+    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
