@@ -13,16 +13,19 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
-
-    The folder is ``spark.checkpoint.dir`` of the session; a folder of our own is set only where that is unset.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"quernel-checkpoint-{os.getpid()}"))
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"quernel-checkpoint-{os.getpid()}"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

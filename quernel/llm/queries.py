@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import chat_format, language_id, secrets, sentencepiece_codec
 from quernel.llm.decontaminate import contamination
+from quernel.llm.embedding_dedup import cosine_components
 from quernel.llm.line_dedup import line_dedup
 from quernel.llm.sharding import shard
 from quernel.llm.simhash import simhash_components
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.9 or more, and their components."""
+    return cosine_components(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 13-word windows of benchmark items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,7 +129,7 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
