@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import chat_format, language_id, secrets, sentencepiece_codec
+from quernel.llm import chat_format, language_id, lm_scoring, secrets, sentencepiece_codec
 from quernel.llm.decontaminate import contamination
 from quernel.llm.embedding_dedup import cosine_components
 from quernel.llm.line_dedup import line_dedup
@@ -27,6 +27,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_components(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-bilinear log10-probability of every document; a fifth of the ids is held out from learning."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
+    return lm_scoring.score(docs, held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 13-word windows of benchmark items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,7 +136,7 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_lm_scoring": op2_lm_scoring, "op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
