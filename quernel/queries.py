@@ -321,7 +321,7 @@ _vec("vec_cosine", lambda a, b: F.round(vectors.cosine(a, b), 6), "round(list_co
 _vec("vec_l2", lambda a, b: F.round(vectors.l2(a, b), 6), "round(list_distance(v, q), 6)")
 _vec("vec_manhattan", lambda a, b: F.round(vectors.manhattan(a, b), 5), "round(list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))), 5)")
 _vec("vec_norm", lambda a, b: F.round(vectors.norm(vectors.scale(a, 3)), 5), "round(3 * sqrt(list_inner_product(v, v)), 5)")
-_vec("vec_add", lambda a, b: F.round(vectors.dot(vectors.add(a, b), vectors.subtract(a, b)), 5), "round(list_inner_product(v, v) - list_inner_product(q, q), 5)")
+_vec("vec_add", lambda a, b: F.round(vectors.dot(vectors.add(a, b), vectors.subtract(a, vectors.scale(b, -1))), 5), "round(list_inner_product(v, v) + 2 * list_inner_product(v, q) + list_inner_product(q, q), 5)")
 _vec("vec_normalize", lambda a, b: F.round(vectors.norm(vectors.normalize(a)), 6), "round(1.0, 6)")
 _vec("vec_subvector", lambda a, b: F.round(vectors.dot(vectors.subvector(a, 4, 8), vectors.subvector(b, 4, 8)), 6), "round(list_inner_product(v[5:12], q[5:12]), 6)")
 _vec("vec_concat", lambda a, b: F.round(vectors.norm(vectors.concat(vectors.doubles(a), vectors.truncate(b, 16))), 5), "round(sqrt(list_inner_product(v, v) + list_inner_product(q[1:16], q[1:16])), 5)")
@@ -455,7 +455,7 @@ _DIGITS = " || ".join(f"substr('{keys.BASE62}', CAST((n // {62**k}) % 62 AS INT)
 q("key_base62", f"SELECT o_orderkey, coalesce(nullif(ltrim({_DIGITS}, '0'), ''), '0') AS code, n AS back FROM (SELECT o_orderkey, o_orderkey * 7919 AS n FROM orders) t")(
     lambda d: d.frame("orders").select("o_orderkey", (F.col("o_orderkey") * 7919).alias("n")).select("o_orderkey", keys.base62(F.col("n")).alias("code")).withColumn("back", keys.from_base62(F.col("code")))
 )
-q("key_timestamp", "SELECT event_id, CAST(epoch_ms(ts) AS VARCHAR) || lpad(CAST(event_id % 1000 AS VARCHAR), 5, '0') AS k FROM events")(lambda d: d.frame("events").select("event_id", keys.timestamp_key(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 1000).cast("string").alias("k")))
+q("key_timestamp", "SELECT event_id, CAST(epoch_us(ts) // 1000 AS VARCHAR) || lpad(CAST(event_id % 1000 AS VARCHAR), 5, '0') AS k FROM events")(lambda d: d.frame("events").select("event_id", keys.timestamp_key(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id") % 1000).cast("string").alias("k")))
 q("key_date", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') || '0007' || lpad(CAST(event_id % 1000 AS VARCHAR), 5, '0') AS k FROM events")(lambda d: d.frame("events").select("event_id", keys.date_key(F.col("ts"), F.col("event_id") % 1000, node=7).cast("string").alias("k")))
 
 DAYS10 = 10 * 86_400_000
