@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernel.functions.expr import Expr, field, greatest, least, now
 from quernel.operators import constraints, lifetime, vector_search
@@ -371,7 +372,7 @@ class Database:
         schema = self.schema(table)
         for n in names:
             values = [r.get(n) for r in rows if r.get(n) is not None]
-            if n in schema.columns and all(isinstance(v, str) for v in values) and schema.field(n).type not in (FieldType.text, FieldType.json):
+            if n in schema.columns and any(isinstance(v, str) for v in values) and schema.field(n).type not in (FieldType.text, FieldType.json):
                 kinds.append("string")
             elif n in schema.columns:
                 kinds.append(schema.field(n).spark.simpleString())
@@ -380,7 +381,10 @@ class Database:
         from quernel.functions.values import convert_literal
 
         def cell(n: str, kind: str, v: Any) -> Any:
-            return v if v is None or kind == "string" and isinstance(v, str) or isinstance(v, list) else convert_literal(v, schema.field(n).spark)
+            if v is None or isinstance(v, list) or kind == "string" and isinstance(v, str):
+                return v
+            # a text among other values: all become text, so that what cannot be converted is seen as that
+            return convert_literal(v, T.StringType() if kind == "string" else schema.field(n).spark)
 
         data = [(i, *(cell(n, k, r.get(n)) for n, k in zip(names, kinds, strict=True))) for i, r in enumerate(rows)]
         return self.spark.createDataFrame(data, ", ".join(["_seq long", *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]))
@@ -390,7 +394,7 @@ class Database:
 
     def _written(self, table: str, written: Written, op: str) -> Result:
         report = _checkpoint(written.report)
-        status = Written(written.frame, report).status()
+        status = Written(written.frame, report, written.applied).status()
         if status >= 0:
             self._set({table: written.frame}, {"op": op, "table": table, "report": report})
         return Result(status, "" if status >= 0 else str(report.where("error is not null").select("error").limit(1).collect()[0][0]), report)

@@ -44,11 +44,12 @@ class Written:
 
     frame: DataFrame
     report: DataFrame
+    applied: bool = True  # False: one bad row stopped all
 
     def status(self) -> Status:
         """Success, partial success, or the failure of all rows. Runs the report."""
         good, bad = self.report.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
-        return Status.success if not bad else Status.partialSuccess if good else Status.validationFailed
+        return Status.success if not bad else Status.partialSuccess if good and self.applied else Status.validationFailed
 
 
 def resolver(frame: DataFrame):
@@ -143,7 +144,7 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
                 made = made.withColumn("_error", F.coalesce("_error", F.when((n > 0) & (n < len(fk.fields)), F.lit(f"{fk.label(schema.name)}: part is null"))))
     report = made.select(F.col(schema.key.name).alias("key"), F.lit("insert").alias("action"), F.col("_error").alias("error"))
     if not allow_partial and not report.where("error is not null").isEmpty():
-        return Written(existing, report)
+        return Written(existing, report, False)
     return Written(existing.unionByName(made.where("_error is null").select(*existing.columns)), report)
 
 
@@ -214,7 +215,7 @@ def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_part
     made = made.join(known, F.col(key) == F.col("_k"), "left").withColumn("_error", F.coalesce("_error", F.when(F.col("_k").isNull(), F.lit("no such key")))).drop("_k")
     report = made.select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
     if not allow_partial and not report.where("error is not null").isEmpty():
-        return Written(existing, report)
+        return Written(existing, report, False)
     seq = F.struct(*(c.alias(f"s{i}") for i, c in enumerate(_order(made))))
     last = made.where("_error is null").groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*given), seq).alias("_new"))
     joined = existing.join(last, F.col(key) == F.col("_k"), "left")
