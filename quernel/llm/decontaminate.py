@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.base import fresh, others, row_key
+from quernel.llm.base import fresh, others, row_key, text_udf
 
 #: Bytes that are part of a word once A-Z is lower-cased (digits, a-z and all of a non-ASCII character).
 _WORD = bytes(b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -151,26 +150,30 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _measure(automaton):
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = automaton.value
-        for texts in batches:
-            rows = []
-            for text in texts:
-                words = words_of(text)
-                spans, items = found.scan(words)
-                rows.append((len(words), sum(b - a + 1 for a, b in spans), sorted(items), [x for s in spans for x in s]))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+    def work(texts: list[str | None]) -> pa.Array:
+        found, rows = automaton.value, []
+        for text in texts:
+            words = words_of(text)
+            spans, items = found.scan(words)
+            rows.append((len(words), sum(b - a + 1 for a, b in spans), sorted(items), [x for s in spans for x in s]))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_words", "n_hit", "items", "spans"])
 
-    return F.pandas_udf(udf, "n_words long, n_hit long, items array<string>, spans array<long>")
+    return text_udf(work, "struct<n_words: long, n_hit: long, items: array<string>, spans: array<long>>")
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or s is None or not len(s) else cut_spans(t, list(zip(s[::2], s[1::2], strict=True))) for t, s in zip(texts, spans, strict=True)], dtype=object)
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    parts = []
+    for i in range(0, len(texts), 256):
+        rows = zip(texts.slice(i, 256).to_pylist(), spans.slice(i, 256).to_pylist(), strict=True)
+        parts.append(pa.array([cut_spans(t, list(zip(s[::2], s[1::2], strict=True))) if t and s else t for t, s in rows], pa.string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-def _merge(many: pd.Series) -> pd.Series:
+def _merge(many: pa.Array) -> pa.Array:
     out = []
-    for flat in many:
+    for flat in many.to_pylist():
         joined: list[list[int]] = []
         for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
             if joined and a <= joined[-1][1] + 1:
@@ -178,7 +181,7 @@ def _merge(many: pd.Series) -> pd.Series:
             else:
                 joined.append([a, b])
         out.append([x for s in joined for x in s])
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_item_chars: int = 30_000_000) -> DataFrame:
@@ -213,10 +216,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         found = one if found is None else found.unionAll(one)
     found = found.groupBy(F.col(a).alias("_j1"), F.col(b).alias("_j2")).agg(
         F.max(f"{leak}.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{leak}.items")))).alias("items"), F.flatten(F.collect_list(f"{leak}.spans")).alias("spans")
-    ).withColumn("spans", F.pandas_udf(_merge, "array<long>")("spans"))
-    hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.get("spans", i) * F.when(i % 2 == 0, -1).otherwise(1) + (i % 2).cast("long"))
-    out = F.struct("n_words", F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(hit).alias("n_hit"), "items", "spans")
-    return keyed.join(found, (F.col(a) == F.col("_j1")) & (F.col(b) == F.col("_j2"))).select(*taken, out.alias("leak"))
+    ).withColumn("spans", F.arrow_udf(_merge, "array<long>")("spans"))
+    flat = F.col("spans")
+    hit = F.aggregate(F.sequence(F.lit(0), F.size(flat) - 1), F.lit(0).cast("long"), lambda n, i: n + F.get(flat, i) * F.when(i % 2 == 0, -1).otherwise(1) + (i % 2).cast("long"))
+    n_hit = F.when(F.size(flat) == 0, F.lit(0).cast("long")).otherwise(hit).alias("n_hit")
+    found = found.select("_j1", "_j2", F.struct("n_words", n_hit, "items", "spans").alias(leak))
+    return keyed.join(found, (F.col(a) == F.col("_j1")) & (F.col(b) == F.col("_j2"))).select(*taken, F.col(leak).alias("leak"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, most_coverage: float = 0.5) -> DataFrame:
@@ -227,5 +232,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     leak = contamination(docs, benchmark, text_col, window=window)
     cut = leak.where(~(F.col("leak.n_hit") > F.col("leak.n_words") * F.lit(most_coverage)))
-    without = F.pandas_udf(_cut, "string")
+    without = F.arrow_udf(_cut, "string")
     return cut.select(*(without(F.col(c), F.col("leak.spans")).alias(c) if c == text_col else F.col(c) for c in others(docs, ["leak"])))
