@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 #: Entries of the memo of units and of piece pairs that one Python worker keeps before it starts afresh.
-MEMO = 300_000
+MEMO = 100_000
+#: Units of at most so many characters are kept in the memo, and fit the window whole.
+SHORT = 48
 
 
 class Codec:
@@ -36,6 +39,10 @@ class Codec:
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
         self.score = {p: s for p, s, t in pieces if t == NORMAL}
         self.longest = max(map(len, self.id), default=1)
+        self.ends = {p[i:] for p in self.id for i in range(len(p))}  # a piece can end in these
+        # merges in order of score; a tie is decided by place, so pieces that share a score have no rank of their own
+        tied = Counter(self.score.values())
+        self.rank = {p: k for k, (p, s) in enumerate(sorted(self.score.items(), key=lambda x: -x[1])) if tied[s] == 1}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE} if byte_fallback else {}
         self.worst = min(self.score.values(), default=0.0) - 10.0  # of a character without a piece
@@ -45,9 +52,12 @@ class Codec:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
         alone = "".join(c for c in "\n\r\t" if c not in inside)
         self.unit = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing and kind == BPE else None
-        self.memo: dict[str, list[int]] = {}
+        # two characters that no piece holds side by side always have a boundary between them
+        self.beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the memo that was full before: words in use move on
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -63,11 +73,15 @@ class Codec:
         return cls([(p.piece, p.score, p.type) for p in m.pieces], m.trainer_spec.model_type, n.add_dummy_prefix, m.trainer_spec.byte_fallback)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "pairs": {}, "whole": {}}
+        return self.__dict__ | {"memo": {}, "older": {}, "pairs": {}, "halves": {}}
 
     def merged(self, text: str) -> list[str]:
-        """Pieces by merging, best score first, then leftmost; for the short texts of pairs."""
-        parts, score = list(text), self.score
+        """Pieces by merging, best score first, then leftmost; for short texts."""
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str]]:
+        """The pieces, and the two that were merged last."""
+        parts, score, halves = list(text), self.score, ("", "")
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -75,29 +89,64 @@ class Codec:
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                return parts
+                return parts, halves
+            halves = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """What a piece is merged from last; itself for one character, None if merging never makes it."""
+        if piece not in self.halves:
+            parts, last = self._merge(piece)
+            self.halves[piece] = (piece, piece) if len(piece) == 1 else last if parts == [piece] else None
+        return self.halves[piece]
+
     def _fits(self, before: str | None, piece: str) -> bool:
+        """Whether ``piece`` can stand first, or behind ``before``."""
+        if self._halves(piece) is None:
+            return False
         if before is None:
-            ok = self.whole.get(piece)
-            if ok is None:
-                ok = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-            return ok
+            return True
         ok = self.pairs.get((before, piece))
         if ok is None:
             if len(self.pairs) >= MEMO:
                 self.pairs.clear()
-            ok = self.pairs[before, piece] = self._fits(None, piece) and self.merged(before + piece) == [before, piece]
+            ok = self.pairs[before, piece] = self._apart(before, piece)
         return ok
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether merging ``a + b`` gives a and b again.
+
+        Merges are undone, the latest first: while the symbols on the two sides of the border exist together, they
+        would be merged if their merge came before the one that ends them. Ranks decide that unless scores tie.
+        """
+        rank, halves = self.rank, self._halves
+        end_a = end_b = len(rank)  # rank of the merge that ends the symbol on either side of the border
+        x, y = a, b
+        while True:
+            joined = x + y
+            if joined in self.id:
+                r = rank.get(joined)
+                if r is None:
+                    return self.merged(a + b) == [a, b]
+                if r < end_a and r <= end_b:  # of equal merges the left one is made first
+                    return False
+            rank_x, rank_y = (-1 if len(x) == 1 else rank.get(x)), (-1 if len(y) == 1 else rank.get(y))
+            if rank_x is None or rank_y is None:
+                return self.merged(a + b) == [a, b]
+            if rank_x < 0 and rank_y < 0:
+                return True
+            if rank_x >= rank_y:
+                end_a, x = rank_x, halves(x)[1]
+            else:
+                end_b, y = rank_y, halves(y)[0]
+
     def segment(self, text: Iterable[str]) -> Iterator[str]:
         """Pieces of an escaped text, given character by character, in constant memory.
 
         Only the last ``longest`` positions can be the start of a later piece. Whenever their back-pointer paths
         have all met in one boundary, the pieces up to it are yielded and forgotten.
         """
-        known, longest, bpe = self.id, self.longest, self.kind == BPE
+        known, longest, bpe, ends = self.id, self.longest, self.kind == BPE, self.ends
         last: dict[int, str | None] = {0: None}  # position -> the piece that ends there on its best path
         value = {0: 0.0}
         window, start, n = "", 0, 0  # characters from position `start` on
@@ -106,13 +155,15 @@ class Codec:
             window += c
             n += 1
             best, chosen = None, None
+            fitting = []
             for size in range(1, min(longest, n - done) + 1):
                 j = n - size
-                if j not in last:
-                    continue
                 piece = window[j - start :]
-                if size > 1 and piece not in known:
-                    continue
+                if size > 1 and piece not in ends:
+                    break
+                if j in last and (size == 1 or piece in known):
+                    fitting.append((j, piece))
+            for j, piece in reversed(fitting):  # long pieces are the likelier ones
                 if bpe:
                     if self._fits(last[j], piece):
                         chosen = piece
@@ -170,14 +221,52 @@ class Codec:
         for u in self.unit.findall(escaped):
             ids = memo.get(u)
             if ids is None:
-                ids = self._ids(self.segment(u))
-                if len(u) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[u] = ids
+                ids = self._unit(u)
+                memo = self.memo
             out += ids
         return out
 
+    def _unit(self, u: str) -> tuple[int, ...]:
+        """Ids of a unit that the memo lacks."""
+        ids = self.older.get(u)
+        if ids is None:
+            if len(u) > SHORT:
+                return tuple(self._ids(self.segment(u)))
+            beside, cut, parts = self.beside, 0, []
+            for i in range(1, len(u)):
+                if u[i - 1 : i + 1] not in beside:
+                    parts.append(u[cut:i])
+                    cut = i
+            ids = tuple(self._ids(self._short(u)) if not parts else [x for p in [*parts, u[cut:]] for x in self.memo.get(p) or self._unit(p)])
+        if len(self.memo) >= MEMO:
+            self.older, self.memo = self.memo, {}
+        self.memo[u] = ids
+        return ids
+
+    def _short(self, u: str) -> list[str]:
+        """``segment`` of a unit that the window holds whole."""
+        known, ends, pairs = self.id, self.ends, self.pairs
+        last: list[str | None] = [None] * (len(u) + 1)
+        for n in range(1, len(u) + 1):
+            fitting = [u[n - 1]]
+            if fitting[0] in ends:
+                for j in range(n - 2, -1, -1):
+                    piece = u[j:n]
+                    if piece not in ends:
+                        break
+                    if piece in known:
+                        fitting.append(piece)
+            for piece in reversed(fitting):
+                j = n - len(piece)
+                before = last[j]
+                if j and before is None:
+                    continue
+                ok = pairs.get((before, piece))
+                if self._fits(before, piece) if ok is None else ok:
+                    last[n] = piece
+                    break
+        return self._path(last, 0, len(u))
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids))
         return out[1:] if self.dummy_prefix and out[:1] == b" " else out
