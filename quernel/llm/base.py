@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +58,15 @@ def others(docs: DataFrame, made: list[str]) -> list[str]:
     return [c for c in docs.columns if c.lower() not in low]
 
 
-def rows_of(batches, *names):
-    """Python lists of the named columns of Arrow record batches, batch by batch."""
-    for b in batches:
-        yield b, [b.column(n).to_pylist() for n in names]
+def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, rows: int = 256):
+    """An Arrow UDF over one text column. ``work`` gets some rows' texts at a time, so that few are Python strings at once."""
+
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [work(texts.slice(i, rows).to_pylist()) for i in range(0, len(texts), rows)] or [work([])]
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(udf, kind)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

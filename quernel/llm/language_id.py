@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.base import others
+from quernel.llm.base import others, text_udf
 
 #: Characters that one lane parses; texts are cut into segments so that numpy parses many lanes in step.
 SEGMENT = 512
@@ -148,21 +146,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _predict(model):
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        for texts in batches:
-            lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            values = texts.tolist()
-            folded = [(i, f) for i, t in enumerate(values) if m is not None and t for f in [m.fold(t)] if len(f)]
-            if folded:
-                found = m.rates([f for _, f in folded])
-                best = found.argmin(1)
-                weight = np.exp2(found.min(1, keepdims=True) - found)
-                for k, (i, _) in enumerate(folded):
-                    lang[i], score[i], rate[i] = m.languages[best[k]], 1 / weight[k].sum(), found[k, best[k]]
-            yield pd.DataFrame({"lang": lang, "score": score, "rate": [None if x != x else x for x in rate]})
-
-    return F.pandas_udf(udf, "lang string, score double, rate double")
+    def work(texts: list[str | None]) -> pa.Array:
+        m, n = model.value, len(texts)
+        lang, score, rate = ["und"] * n, [0.0] * n, [None] * n
+        folded = [(i, f) for i, t in enumerate(texts) if m is not None and t for f in [m.fold(t)] if len(f)]
+        if folded:
+            found = m.rates([f for _, f in folded])
+            best = found.argmin(1)
+            weight = np.exp2(found.min(1, keepdims=True) - found).sum(1)
+            for k, (i, _) in enumerate(folded):
+                lang[i], score[i], rate[i] = m.languages[best[k]], 1 / weight[k], found[k, best[k]]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["lang", "score", "rate"])
+
+    return text_udf(work, "struct<lang: string, score: double, rate: double>", rows=1024)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:

@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from quernel.llm.base import checkpoint, components, fresh
+from quernel.llm.base import checkpoint, components, fresh, text_udf
 
 BITS = 64
 #: Rows of one side of a comparison block: a pair matrix of at most CHUNK * CHUNK 64-bit words is in memory at a time.
@@ -195,7 +193,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component of their fingerprint; null if no row with an id is in it. Repeated rows repeat in the result; ties
     need no rule, for the smallest id names a component. An empty table gives an empty result. Ids must be integers.
     """
-    udf = F.pandas_udf(lambda s: pd.Series([fingerprint(x, words, seed) for x in s], dtype="int64"), LongType())
+    udf = text_udf(lambda texts: pa.array([fingerprint(x, words, seed) for x in texts], pa.int64()), "long")
     prints = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), udf(F.col(text_col)).alias("fp")))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
     found = hamming_components(classes, distance)
