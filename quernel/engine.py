@@ -194,7 +194,7 @@ class Database:
         return self.schemas[where]
 
     def frame(self, table: str) -> DataFrame:
-        """The current snapshot, without rows whose lifetime is over if it is measured by a field."""
+        """The current snapshot; within a transaction, that of the transaction."""
         where = self._where(table)
         self.schema(table)
         if self._transaction is not None:

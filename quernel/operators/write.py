@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import operator
 from dataclasses import dataclass
@@ -10,13 +11,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quernel.functions import keys
 from quernel.functions.expr import Expr, compile_expr
 from quernel.functions.values import convert_column, literal
 from quernel.operators.constraints import orphans
 from quernel.plans.condition import Condition
-from quernel.schema import FieldType, SchemaError, Table
+from quernel.schema import FieldType, KeyKind, SchemaError, Table
 
 
 class Status(IntEnum):
@@ -111,18 +114,31 @@ def _reject(rows: DataFrame, bad: DataFrame, on: list[str], error: str) -> DataF
     return joined.withColumn("_error", F.coalesce("_error", F.when(F.col("_bad"), F.lit(error)))).drop("_bad", *(f"_b{i}" for i in range(len(on))))
 
 
-def _keyed(rows: DataFrame, existing: DataFrame, schema: Table) -> DataFrame:
-    """Missing keys of a sequential table continue behind the largest there is."""
+def _keyed(rows: DataFrame, existing: DataFrame, schema: Table, at: dt.datetime | None = None) -> DataFrame:
+    """Missing keys: sequential ones continue behind the largest there is; those of time-based kinds begin at the time
+    (milliseconds, or date and time, with five digits for a sequence) or behind the largest, and short codes are such numbers in base 62.
+    """
     key = schema.key
-    if key.type != FieldType.integer or key.kind == "none":
+    if key.kind == KeyKind.none or key.kind == KeyKind.sequential and key.type != FieldType.integer:
         return rows.withColumn("_error", F.coalesce("_error", F.when(F.col(key.name).isNull(), F.lit("no key"))))
-    top = existing.agg(F.max(key.name)).first()[0]
-    given = rows.agg(F.max(key.name)).first()[0]
-    first = max([key.start, *(x + key.step for x in (top, given) if x is not None)])
+    text = key.type == FieldType.text
+    value = keys.from_base62(F.col(key.name)) if key.kind == KeyKind.shortCode else F.col(key.name).try_cast("long")
+    tops = [x for x in (f.agg(F.max(value)).first()[0] for f in (existing, rows)) if x is not None]
+    if key.kind == KeyKind.sequential:
+        first, step = max([key.start, *(x + key.step for x in tops)]), key.step
+    else:
+        now = at or dt.datetime.now(dt.UTC)
+        base = int(now.strftime("%Y%m%d%H%M%S")) if key.kind == KeyKind.datePrefixed else int(now.replace(tzinfo=dt.UTC).timestamp() * 1000)
+        first, step = max([base * keys.SEQUENCE, *(x + 1 for x in tops)]), 1
     missing = F.col(key.name).isNull() & F.col("_error").isNull()
     # rows without a key are numbered on their own, so those with one are not moved
-    number = F.row_number().over(Window.partitionBy(missing).orderBy(*_order(rows))) - 1
-    return rows.withColumn(key.name, F.when(missing, number * key.step + first).otherwise(F.col(key.name)).cast("long"))
+    number = (F.row_number().over(Window.partitionBy(missing).orderBy(*_order(rows))) - 1) * step + F.lit(first).cast("long")
+    made = keys.base62(number) if key.kind == KeyKind.shortCode else number.cast("string") if text else number
+    return rows.withColumn(key.name, F.when(missing, made).otherwise(F.col(key.name)).cast(key_type(schema)))
+
+
+def key_type(schema: Table) -> T.DataType:
+    return schema.field(schema.key.name).spark
 
 
 def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: bool = True, parents: dict[str, DataFrame] | None = None, now: Column | None = None) -> Written:
@@ -131,11 +147,11 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
     Without ``allow_partial`` one rejected row rejects all.
     """
     made = _keyed(validate(rows, schema, now), existing, schema)
-    for label, key in schema.unique_keys().items():
-        ok = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in key)) & F.col("_error").isNull()
-        rank = F.row_number().over(Window.partitionBy(*key, ok).orderBy(*_order(made)))
+    for label, fields in schema.unique_keys().items():
+        ok = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in fields)) & F.col("_error").isNull()
+        rank = F.row_number().over(Window.partitionBy(*fields, ok).orderBy(*_order(made)))
         made = made.withColumn("_rank", rank).withColumn("_error", F.coalesce("_error", F.when(ok & (F.col("_rank") > 1), F.lit(f"{label}: twice in the batch")))).drop("_rank")
-        made = _reject(made, existing.select(*key), list(key), f"{label}: taken")
+        made = _reject(made, existing.select(*fields), list(fields), f"{label}: taken")
     for fk in schema.foreign_keys:
         if fk.enabled and parents and fk.table in parents:
             made = _reject(made, orphans(made.select(*fk.fields).distinct(), parents[fk.table], fk), list(fk.fields), f"{fk.label(schema.name)}: no parent")
@@ -200,7 +216,7 @@ def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[st
             new = F.col(c) if c in given else F.when(was, before).otherwise(default)
         out.append(F.when(was & ~hit, before).otherwise(new).cast(kind).alias(c))
     frame = both.select(*out)
-    if key not in given and schema.key.type == FieldType.integer:
+    if key not in given and schema.key.kind != KeyKind.none:
         frame = _keyed(frame.withColumn("_error", F.lit(None).cast("string")), existing, schema).drop("_error")
     action = F.when(F.col("_target").isNull(), "insert").otherwise("update")
     return Written(frame, made.select((F.coalesce("_target", key) if key in given else F.col("_target")).alias("key"), action.alias("action"), F.col("_error").alias("error")))

@@ -198,3 +198,28 @@ def test_lifetime_and_key_values(spark):
 def test_condition_reuse_in_builder(db):
     c = Condition().where("age", ">", 20)
     assert len(names(db.query("users").condition(c).where("age", "<", 50))) == 2
+
+
+def test_generated_key_kinds(spark):
+    from quernel.functions import crypto
+    from quernel.schema import KeyKind, PrimaryKey
+
+    for kind, type_, width in ((KeyKind.timestampBased, T.integer, 18), (KeyKind.datePrefixed, T.integer, 19), (KeyKind.shortCode, T.text, 10)):
+        db = Database.memory(spark, [Table("t", (Field("a", T.integer),), PrimaryKey("id", kind, type=type_))])
+        for _ in range(2):
+            assert db.batch_insert("t", [{"a": 1}, {"a": 2}]).is_success
+        ids = [str(r.id) for r in db.frame("t").collect()]
+        assert len(set(ids)) == 4 and {len(i) for i in ids} == {width}
+    frame = spark.createDataFrame([("x",), ("é",), (None,)], "v string")
+    coded = frame.select("v", crypto.encode(F.col("v"), "k").alias("c"))
+    assert [r.v for r in coded.select(crypto.decode(F.col("c"), "k").alias("v")).collect()] == ["x", "é", None]
+    assert {r.v for r in coded.select(crypto.decode(F.col("c"), "other").alias("v")).collect()} == {None}
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "concat('n', id) as s", "id * 2 as x", "id * 3 as unused").write.parquet(f"{tmp_path}/t.parquet")
+    db = Database.over(spark, str(tmp_path), [Table("t", (Field("s", T.text), Field("x", T.integer), Field("unused", T.integer)))])
+    plan = db.query("t").where("x", ">", 10).where_starts_with("s", "n1").select(["id"]).df()._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(x,10)" in plan and "StringStartsWith(s,n1)" in plan and "unused" not in plan
+    top = db.query("t").order_by_desc("x").limit(3).select(["id"]).df()._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in top
