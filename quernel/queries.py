@@ -322,7 +322,7 @@ _vec("vec_l2", lambda a, b: F.round(vectors.l2(a, b), 6), "round(list_distance(v
 _vec("vec_manhattan", lambda a, b: F.round(vectors.manhattan(a, b), 5), "round(list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))), 5)")
 _vec("vec_norm", lambda a, b: F.round(vectors.norm(vectors.scale(a, 3)), 5), "round(3 * sqrt(list_inner_product(v, v)), 5)")
 _vec("vec_add", lambda a, b: F.round(vectors.dot(vectors.add(a, b), vectors.subtract(a, vectors.scale(b, -1))), 5), "round(list_inner_product(v, v) + 2 * list_inner_product(v, q) + list_inner_product(q, q), 5)")
-_vec("vec_normalize", lambda a, b: F.round(vectors.norm(vectors.normalize(a)), 6), "round(1.0, 6)")
+_vec("vec_normalize", lambda a, b: F.round(vectors.norm(vectors.normalize(a)), 6), "CAST(1 AS DOUBLE)")
 _vec("vec_subvector", lambda a, b: F.round(vectors.dot(vectors.subvector(a, 4, 8), vectors.subvector(b, 4, 8)), 6), "round(list_inner_product(v[5:12], q[5:12]), 6)")
 _vec("vec_concat", lambda a, b: F.round(vectors.norm(vectors.concat(vectors.doubles(a), vectors.truncate(b, 16))), 5), "round(sqrt(list_inner_product(v, v) + list_inner_product(q[1:16], q[1:16])), 5)")
 
