@@ -65,6 +65,7 @@ def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, rows: int
         for texts in batches:
             parts = [work(texts.slice(i, rows).to_pylist()) for i in range(0, len(texts), rows)] or [work([])]
             yield pa.concat_arrays(parts)
+        pa.default_memory_pool().release_unused()  # workers are kept: what a task held is not the next stage's burden
 
     return F.arrow_udf(udf, kind)
 

@@ -149,18 +149,28 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode()
 
 
-def _measure(automaton):
+def _measure(automaton, cut_above: float | None = None):
+    """A UDF: n_words, n_hit, items and spans of a text; with ``cut_above`` the text without its spans instead of items and spans,
+    and whether it stays. One UDF for both, since two in one stage would hold two Python workers a task."""
+
     def work(texts: list[str | None]) -> pa.Array:
         found, rows = automaton.value, []
         for text in texts:
             words = words_of(text)
             spans, items = found.scan(words)
-            rows.append((len(words), sum(b - a + 1 for a, b in spans), sorted(items), [x for s in spans for x in s]))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_words", "n_hit", "items", "spans"])
+            hit = sum(b - a + 1 for a, b in spans)
+            if cut_above is None:
+                rows.append((len(words), hit, sorted(items), [x for s in spans for x in s]))
+            else:
+                rows.append((cut_spans(text, spans) if spans else text, not hit > len(words) * cut_above))
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return text_udf(work, "struct<n_words: long, n_hit: long, items: array<string>, spans: array<long>>")
+    if cut_above is None:
+        names, kinds = ["n_words", "n_hit", "items", "spans"], (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return text_udf(work, "struct<n_words: long, n_hit: long, items: array<string>, spans: array<long>>")
+    names, kinds = ["text", "stays"], (pa.string(), pa.bool_())
+    return text_udf(work, "struct<text: string, stays: boolean>")
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -184,6 +194,16 @@ def _merge(many: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text: str, most_chars: int) -> tuple[DataFrame, int]:
+    """(item, text) and the number of slices that an automaton of bounded size can take."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
+    return items, -(-(items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // most_chars) or 1
+
+
+def _automaton(items: DataFrame, window: int):
+    return items.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in items.collect()], window))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_item_chars: int = 30_000_000) -> DataFrame:
     """``docs`` with a struct ``leak``: n_words, n_hit (long), items (sorted strings) and spans (flat first, last word numbers).
 
@@ -195,24 +215,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     is dealt by item hash into slices of about that size, each scanned by a pass of its own; the spans of a row are
     then merged. Documents are streamed: no shuffle of texts in the first case.
     """
-    spark = docs.sparkSession
     taken = others(docs, ["leak"])
     base = docs.select(*taken)
-    name = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
-    items = benchmark.select(name.alias("item"), F.col(item_text).alias("text"))
-    slices = -(-(items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // most_item_chars) or 1
-
-    def automaton(part: DataFrame):
-        return spark.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in part.collect()], window))
-
+    items, slices = _items(benchmark, item_col, item_text, most_item_chars)
     if slices == 1:
-        return base.withColumn("leak", _measure(automaton(items))(F.col(text_col)))
+        return base.withColumn("leak", _measure(_automaton(items, window))(F.col(text_col)))
     a, b, leak = (fresh(n, taken) for n in ("_k1", "_k2", "_leak"))
     keyed = base.withColumns(dict(zip((a, b), row_key(text_col, text_col), strict=True)))
     found = None
     for i in range(slices):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == i)
-        one = keyed.select(a, b, _measure(automaton(part))(F.col(text_col)).alias(leak)).distinct()
+        one = keyed.select(a, b, _measure(_automaton(part, window))(F.col(text_col)).alias(leak)).distinct()
         found = one if found is None else found.unionAll(one)
     found = found.groupBy(F.col(a).alias("_j1"), F.col(b).alias("_j2")).agg(
         F.max(f"{leak}.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{leak}.items")))).alias("items"), F.flatten(F.collect_list(f"{leak}.spans")).alias("spans")
@@ -224,13 +237,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return keyed.join(found, (F.col(a) == F.col("_j1")) & (F.col(b) == F.col("_j2"))).select(*taken, F.col(leak).alias("leak"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, most_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_coverage: float = 0.5, most_item_chars: int = 30_000_000) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut from the texts, and rows that are mostly hits are dropped.
 
     A span is hit if it lies in occurrences of windows of ``window`` words (or of whole shorter items). A text more
     than ``most_coverage`` of whose words are hit goes with its row. Others, null and empty texts among them, stay.
     """
-    leak = contamination(docs, benchmark, text_col, window=window)
+    taken = others(docs, ["leak"])
+    items, slices = _items(benchmark, item_col, item_text, most_item_chars)
+    if slices == 1:
+        found = fresh("_found", taken)
+        made = docs.select(*taken).withColumn(found, _measure(_automaton(items, window), most_coverage)(F.col(text_col)))
+        return made.where(F.col(f"{found}.stays")).select(*(F.col(f"{found}.text").alias(c) if c == text_col else F.col(c) for c in taken))
+    leak = contamination(docs, benchmark, text_col, item_col, item_text, window, most_item_chars)
     cut = leak.where(~(F.col("leak.n_hit") > F.col("leak.n_words") * F.lit(most_coverage)))
     without = F.arrow_udf(_cut, "string")
-    return cut.select(*(without(F.col(c), F.col("leak.spans")).alias(c) if c == text_col else F.col(c) for c in others(docs, ["leak"])))
+    return cut.select(*(without(F.col(c), F.col("leak.spans")).alias(c) if c == text_col else F.col(c) for c in taken))
