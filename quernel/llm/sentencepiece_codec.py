@@ -17,8 +17,9 @@ from quernel.llm.base import others
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
-#: Entries of the memo of units and of piece pairs that one Python worker keeps before it starts afresh.
-MEMO = 100_000
+#: Entries of the memo of units, and of piece pairs, that one Python worker keeps before it starts afresh.
+MEMO = 200_000
+PAIRS = 400_000
 #: Units of at most so many characters are kept in the memo, and fit the window whole.
 SHORT = 48
 
@@ -52,8 +53,6 @@ class Codec:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
         alone = "".join(c for c in "\n\r\t" if c not in inside)
         self.unit = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing and kind == BPE else None
-        # two characters that no piece holds side by side always have a boundary between them
-        self.beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the memo that was full before: words in use move on
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -108,7 +107,7 @@ class Codec:
             return True
         ok = self.pairs.get((before, piece))
         if ok is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[before, piece] = self._apart(before, piece)
         return ok
@@ -211,61 +210,80 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and empty texts have none."""
-        if not text:
-            return []
-        escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of some texts. Units that the memo lacks are segmented in order, each going on from the prefix it shares with the last."""
+        escaped = [(SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
         if self.unit is None or not self.bytes:
-            return self._ids(self.segment(escaped))
-        out: list[int] = []
-        memo = self.memo
-        for u in self.unit.findall(escaped):
-            ids = memo.get(u)
+            return [self._ids(self.segment(t)) for t in escaped]
+        units = [self.unit.findall(t) for t in escaped]
+        memo, older = self.memo, self.older
+        missing = {u for own in units for u in own if u not in memo}
+        if len(memo) + len(missing) > MEMO:
+            self.older, self.memo = older, memo = memo, {}
+            missing = {u for own in units for u in own}
+        fresh = []
+        for u in missing:
+            ids = older.get(u)
             if ids is None:
-                ids = self._unit(u)
-                memo = self.memo
-            out += ids
+                fresh.append(u)
+            else:
+                memo[u] = ids
+        self._segment_sorted(sorted(fresh))
+        out = []
+        for own in units:
+            ids = []
+            for u in own:
+                ids += memo[u]
+            out.append(ids)
         return out
 
-    def _unit(self, u: str) -> tuple[int, ...]:
-        """Ids of a unit that the memo lacks."""
-        ids = self.older.get(u)
-        if ids is None:
-            if len(u) > SHORT:
-                return tuple(self._ids(self.segment(u)))
-            beside, cut, parts = self.beside, 0, []
-            for i in range(1, len(u)):
-                if u[i - 1 : i + 1] not in beside:
-                    parts.append(u[cut:i])
-                    cut = i
-            ids = tuple(self._ids(self._short(u)) if not parts else [x for p in [*parts, u[cut:]] for x in self.memo.get(p) or self._unit(p)])
-        if len(self.memo) >= MEMO:
-            self.older, self.memo = self.memo, {}
-        self.memo[u] = ids
-        return ids
-
-    def _short(self, u: str) -> list[str]:
-        """``segment`` of a unit that the window holds whole."""
-        known, ends, pairs = self.id, self.ends, self.pairs
-        last: list[str | None] = [None] * (len(u) + 1)
-        for n in range(1, len(u) + 1):
-            fitting = [u[n - 1]]
-            if fitting[0] in ends:
-                for j in range(n - 2, -1, -1):
+    def _segment_sorted(self, units: list[str]) -> None:
+        """``segment`` of units in alphabetical order, to the memo. The window holds a short unit whole, so its back pointers serve the next."""
+        known, ends, pairs, memo, byte_of, id_of = self.id, self.ends, self.pairs, self.memo, self.bytes, self.id
+        last: list[str | None] = [None]
+        before = ""
+        for u in units:
+            size = len(u)
+            if size > SHORT:
+                memo[u] = tuple(self._ids(self.segment(u)))
+                continue
+            same, most = 0, min(size, len(before))
+            while same < most and u[same] == before[same]:
+                same += 1
+            del last[same + 1 :]
+            for n in range(same + 1, size + 1):
+                piece = u[n - 1]
+                fitting = [piece]
+                j = n - 2
+                while piece in ends and j >= 0:
                     piece = u[j:n]
-                    if piece not in ends:
-                        break
                     if piece in known:
                         fitting.append(piece)
-            for piece in reversed(fitting):
-                j = n - len(piece)
-                before = last[j]
-                if j and before is None:
-                    continue
-                ok = pairs.get((before, piece))
-                if self._fits(before, piece) if ok is None else ok:
-                    last[n] = piece
-                    break
-        return self._path(last, 0, len(u))
+                    j -= 1
+                chosen = None
+                for piece in reversed(fitting):
+                    j = n - len(piece)
+                    prior = last[j]
+                    if j and prior is None:
+                        continue
+                    ok = pairs.get((prior, piece))
+                    if self._fits(prior, piece) if ok is None else ok:
+                        chosen = piece
+                        break
+                last.append(chosen)
+            before = u
+            ids, n = [], size
+            while n:
+                piece = last[n]
+                i = id_of.get(piece)
+                if i is not None:
+                    ids.append(i)
+                else:
+                    ids += [byte_of[b] for b in reversed(piece.encode())]
+                n -= len(piece)
+            memo[u] = tuple(reversed(ids))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids))
@@ -290,17 +308,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for batch in batches:
-            step = 256
+            step = 512
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 texts = part.column("_text").to_pylist()
-                ids = [codec.encode(t) for t in texts]
+                ids = codec.encode_many(texts)
                 same = [None if t is None else codec.decode_bytes(i) == t.encode() for t, i in zip(texts, ids, strict=True)]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_ids", "round_trip"])
+        pa.default_memory_pool().release_unused()
 
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
