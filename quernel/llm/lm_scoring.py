@@ -128,24 +128,35 @@ class Model:
             room = self.rooms[name] = np.empty(shape, np.float32)
         return room[: shape[0]]
 
-    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context vectors and their scaled sum."""
-        p = self.p
-        flat = np.take(p["R"], context.ravel(), axis=0, mode="clip", out=self._room("ctx", (context.size, p["R"].shape[1])))
-        ctx = flat.reshape(*context.shape, -1)
-        return ctx, np.einsum("bcd,cd->bd", ctx, p["P"])
-
-    def contexts(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each token the places of the ``context`` tokens before it in its text."""
-        n = len(places)
-        at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        out = np.full((n, self.context), self.pad, np.int64)
-        for k in range(1, self.context + 1):
-            out[k:, k - 1] = np.where(at[k:] >= k, places[: n - k], self.pad)
+    def stream(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Places of texts one after the other, each behind as many pads as there are context positions."""
+        n, c = len(places), self.context
+        owner = np.repeat(np.arange(1, len(starts) + 1), np.diff(np.append(starts, n)))
+        out = np.full(n + c * len(starts), self.pad, np.int64)
+        out[np.arange(n) + c * owner] = places
         return out
 
-    def train(self, places: np.ndarray, context: np.ndarray, rng: np.random.Generator, rate: float = 0.1, noise: int = 16) -> None:
-        """One step of noise-contrastive estimation with AdaGrad.
+    def windows(self, stream: np.ndarray) -> Iterator[np.ndarray]:
+        """Stretches of a stream that hold ``BATCH`` positions and the context before them."""
+        c = self.context
+        for at in range(c, len(stream), BATCH):
+            yield stream[at - c : at + BATCH]
+
+    def _hidden(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the window's words, and for each position behind the context the scaled sum of those before it.
+
+        A word's vector is read once, though it is in the context of several positions.
+        """
+        c, p = self.context, self.p
+        words = np.take(p["R"], window, axis=0, mode="clip", out=self._room("words", (len(window), p["R"].shape[1])))
+        n = len(window) - c
+        hidden = words[c - 1 : c - 1 + n] * p["P"][0]
+        for i in range(1, c):
+            hidden += words[c - 1 - i : c - 1 - i + n] * p["P"][i]
+        return words, hidden
+
+    def train(self, window: np.ndarray, rng: np.random.Generator, rate: float = 0.1, noise: int = 16) -> None:
+        """One step of noise-contrastive estimation with AdaGrad, over the positions of a window that are no pads.
 
         Noise classes are drawn from the classes' shares, noise words for each class from the shares within it; the
         tokens of the batch, or of the class in the batch, share them, so that scores are matrix products.
@@ -154,10 +165,13 @@ class Model:
         if self.squares is None:
             self.squares = {k: np.full_like(v, 1e-2) for k, v in p.items()}
         P, Q, K = p["P"], p["Q"], p["K"]
-        order = np.argsort(places, kind="stable")
-        places, context = places[order], context[order]
-        n, c = len(places), places // self.size
-        ctx, hidden = self._hidden(context)
+        words, every = self._hidden(window)
+        at = np.flatnonzero(window[self.context :] != self.pad)
+        if not len(at):
+            return
+        at = at[np.argsort(window[at + self.context], kind="stable")]
+        places = window[at + self.context]
+        c, hidden = places // self.size, every[at]
         lift = np.float32(np.log(noise))
 
         def drawn(share: np.ndarray) -> np.ndarray:
@@ -189,27 +203,35 @@ class Model:
             grad_q[own], grad_b[own] = g.T @ h, g.sum(0)
         self._step("K", slice(None), grad_k, rate)
         self._step("a", slice(None), grad_a, rate)
-        self._step("P", slice(None), np.einsum("bd,bcd->cd", back, ctx), rate)
         self._step("Q", slice(None), grad_q, rate)
         self._step("b", slice(None), grad_b, rate)
-        flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        rows = flat[order]
+        by_position = self._room("back", every.shape)
+        by_position[:] = 0
+        by_position[at] = back
+        n, grad_p = len(every), np.empty_like(P)
+        grad = self._room("grad", words.shape)
+        grad[:] = 0
+        for i in range(self.context):
+            there = slice(self.context - 1 - i, self.context - 1 - i + n)
+            grad_p[i] = np.einsum("nd,nd->d", by_position, words[there])
+            grad[there] += by_position * P[i]
+        self._step("P", slice(None), grad_p, rate)
+        order = np.argsort(window, kind="stable")
+        rows = window[order]
         starts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        # each context's gradient in order of its word: of position i of token t it is back[t] * P[i]
-        grad = np.take(back, order // self.context, axis=0, mode="clip", out=self._room("grad", (len(order), back.shape[1])))
-        grad *= np.take(P, order % self.context, axis=0, mode="clip", out=self._room("scale", grad.shape))
-        self._step("R", rows[starts], np.add.reduceat(grad, starts, axis=0), rate)
+        self._step("R", rows[starts], np.add.reduceat(np.take(grad, order, axis=0, mode="clip", out=self._room("sorted", grad.shape)), starts, axis=0), rate)
 
     def _step(self, name: str, rows, grad: np.ndarray, rate: float) -> None:
         square = self.squares[name]
         square[rows] += grad * grad
         self.p[name][rows] += rate * grad / np.sqrt(square[rows])
 
-    def log_probs(self, places: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities: one matrix product for the classes, one for the words of each class."""
+    def log_probs(self, window: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of the window's words behind its context: one matrix product for the classes, one for the words of each class."""
         p = self.p
-        _, hidden = self._hidden(context)
+        _, every = self._hidden(window)
+        at = np.flatnonzero(window[self.context :] != self.pad)
+        places, hidden = window[at + self.context], every[at]
         c = places // self.size
         s = hidden @ p["K"].T + p["a"]
         out = s[np.arange(len(c)), c].astype(np.float64)
@@ -306,9 +328,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 7) -> Model:
         rng, seen = np.random.default_rng(seed), 0
         for _, codes, starts, _ in _streams(batches, vocabulary, BATCH):
             places = vocabulary.parts(codes)[0]
-            context = model.contexts(places, starts)
-            for at in range(0, len(places), BATCH):
-                model.train(places[at : at + BATCH], context[at : at + BATCH], rng)
+            for window in model.windows(model.stream(places, starts)):
+                model.train(window, rng)
             seen += len(places)
         if seen:
             flat = np.concatenate([v.ravel() for v in model.p.values()]).astype(np.float64) * seen
@@ -365,8 +386,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         vocabulary, model = shared.value
         for part, codes, starts, tokens in _streams(batches, vocabulary, 8 * BATCH):
             places, grouped, room, count = vocabulary.parts(codes)
-            context = model.contexts(places, starts)
-            logs = np.concatenate([model.log_probs(places[i : i + BATCH], context[i : i + BATCH]) for i in range(0, len(places), BATCH)]) / LN10
+            logs = np.concatenate([model.log_probs(window) for window in model.windows(model.stream(places, starts))]) / LN10
             rare = codes < 0
             logs += np.where(grouped, count - room, 0)
             base = np.add.reduceat(count - vocabulary.base_room, starts)

@@ -50,14 +50,15 @@ def test_automaton_equals_brute_force(items, words, window):
 def test_contamination_of_tables(table):
     item = "One two, three-four FIVE six seven eight nine ten eleven twelve thirteen fourteen"
     items = [("i1", item), ("i2", "short École item"), ("i3", None), ("i4", "  "), (None, "zz yy xx")]
-    docs = [(1, f"before {item.lower()} after"), (2, "a short école ITEM! here"), (3, None), (4, ""), (5, "nothing of it"), (5, "nothing of it"), (6, "x " * 5000 + item), (7, item), (None, "zz yy xx and more words than that")]
+    docs = [(1, f"before {item.lower()} after" + " and more of its own" * 4), (2, "a short école ITEM! here"), (3, None), (4, ""), (5, "nothing of it"), (5, "nothing of it"), (6, "x " * 5000 + item), (7, item), (None, "zz yy xx and more words than that")]
     d, b = table(docs, DOCS, ["leak", "spans"]), table(items, "item_id string, text string")
     expected = sorted((str(i), *plain_leak(t, [(n or "null", x) for n, x in items])) for i, t in docs)
     for most in (10**6, 40):  # one automaton, and slices
         got = D.contamination(d, b, most_item_chars=most).collect()
         assert sorted((str(r.doc_id), r.leak.n_words, r.leak.n_hit, list(r.leak["items"])) for r in got) == expected
-    clean = {r.doc_id: r.text for r in D.decontaminate(d, b).collect()}
-    assert clean[1] == "before  after" and 7 not in clean and clean[3] is None and clean[5] == "nothing of it"
+        clean = {r.doc_id: r.text for r in D.decontaminate(d, b, most_item_chars=most).collect()}
+        assert set(clean) == {1, 2, 3, 4, 5, 6, None} and len(clean[6].split()) == 5000
+        assert clean[1].startswith("before  after and") and clean[3] is None and clean[5] == "nothing of it"
     assert D.contamination(table([], DOCS), b).count() == 0
     assert {r.leak.n_hit for r in D.contamination(d, table([], "item_id string, text string")).collect()} == {0}
 
@@ -250,9 +251,12 @@ def test_model_is_normalised():
     v = M.Vocabulary(shape, words, sum(n for _, n in words), len(words), mass, kinds)
     m = M.Model(v)
     rng = np.random.default_rng(1)
-    places = rng.integers(0, 13, 500)
-    context = m.contexts(places, np.array([0, 250]))
-    m.train(places, context, rng)
-    for row in context[:5]:
-        every = np.arange(shape.classes * v.size)
-        assert np.isclose(np.exp(m.log_probs(every, np.repeat(row[None], len(every), 0))).sum(), 1, atol=1e-4)
+    stream = m.stream(rng.integers(0, 13, 500), np.array([0, 250]))
+    assert len(stream) == 504 and (stream[[0, 1, 252, 253]] == m.pad).all()
+    m.train(stream, rng)
+    every = np.arange(shape.classes * v.size)
+    for context in ([m.pad, m.pad], [m.pad, 3], [5, 7]):
+        # each word behind the context; the context's own words are scored too, at the front
+        one = np.array([m.pad, m.pad, *[x for x in context if x != m.pad], 0])
+        logs = [m.log_probs(np.append(one[:-1], w))[-1] for w in every]
+        assert np.isclose(np.exp(logs).sum(), 1, atol=1e-4)
