@@ -170,7 +170,8 @@ def _measure(automaton, cut_above: float | None = None):
         names, kinds = ["n_words", "n_hit", "items", "spans"], (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
         return text_udf(work, "struct<n_words: long, n_hit: long, items: array<string>, spans: array<long>>")
     names, kinds = ["text", "stays"], (pa.string(), pa.bool_())
-    return text_udf(work, "struct<text: string, stays: boolean>")
+    # marked so that the filter on ``stays`` is not pushed below, which would run the UDF twice
+    return text_udf(work, "struct<text: string, stays: boolean>").asNondeterministic()
 
 
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
