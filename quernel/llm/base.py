@@ -93,7 +93,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
             .unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         )
-        now = e.agg(F.count(F.lit(1)), F.sum("v"), F.sum("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

@@ -71,3 +71,9 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(30)}
+
+
+def test_components_of_large_ids(spark):
+    edges = [(2**62 + i, 2**62 + i + 1) for i in range(12)] + [(-(2**63), -(2**62)), (-(2**62), -5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {2**62 + i: 2**62 for i in range(13)} | dict.fromkeys((-(2**63), -(2**62), -5), -(2**63))
