@@ -17,23 +17,29 @@ BITS = 64
 CHUNK = 1024
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Signed 64-bit SimHash. A-Z is lower-cased, words end at ASCII white space, shingles are counted with repeats.
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes (uint64) of the word shingles with repeats. A-Z is lower-cased, words end at ASCII white space.
 
-    Fewer words than a shingle: the whole sequence is the one shingle. No words: zero.
+    Fewer words than a shingle: the whole sequence is the one shingle. No words: none.
     """
     parts = (text or "").encode().lower().split()  # for bytes both act on ASCII alone
     if not parts:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(sizes + 1) - 1
-        starts, ends = (ends - sizes)[: -(words - 1)].tolist(), ends[words - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, ends = (ends - sizes)[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the word shingles, counted with repeats. No words: zero."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
