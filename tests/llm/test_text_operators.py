@@ -147,6 +147,27 @@ def test_lexer_propagates_constants_and_scores(table):
     assert S.scan(table([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("line", "value"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz"),
+        ("DB_PWD=Hunter2Xyzzy99 # the old one", "Hunter2Xyzzy99"),
+        ("db:\n  pwd: Hunter2Xyzzy99\n  host: h", "Hunter2Xyzzy99"),
+        ("[db]\npwd = Hunter2Xyzzy99; note", "Hunter2Xyzzy99"),
+        ('var dbPwd string = "Hunter2Xyzzy99"', "Hunter2Xyzzy99"),
+        ('var dbPwd []byte = "Hunter2Xyzzy99"', "Hunter2Xyzzy99"),
+        ('let db_pwd: &str = "Hunter2Xyzzy99";', "Hunter2Xyzzy99"),
+        ("let db_pwd: &'static str = \"Hunter2Xyzzy99\";", "Hunter2Xyzzy99"),
+        ('pwd: Optional[str] = "Hunter2Xyzzy99"', "Hunter2Xyzzy99"),
+        ('String dbPwd = "Hunter2Xyzzy99";', "Hunter2Xyzzy99"),
+        ("pwd = read_password_1(path)", None),
+        ("pwd = self.settings.databasePassword", None),
+    ],
+)
+def test_values_without_quotes_and_typed_targets(line, value):
+    assert [line[a:b] for _, a, b in S.literal_spans(line)] == ([value] if value else [])
+
+
 # -- chat formatting ----------------------------------------------------------------------------------------------------
 NASTY = st.lists(st.sampled_from([*C.CONTROL, "\\", "[", "<", "INST]", "</s", " ok ", "é", "\n", "[INST] x [/INST]"]), max_size=8).map("".join)
 
