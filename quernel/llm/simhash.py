@@ -168,6 +168,8 @@ def _block_edges(distance: int):
 def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
     """``classes`` has distinct ``fp`` and their ``rep`` (both long). Returns (fp, component), the smallest reachable rep.
 
+    A null rep links like any other; the component is null if no reachable fingerprint has a rep.
+
     Every fingerprint is listed once for each of its segments under (segment, value): links share at
     least one. A bucket of any size is cut into chunks of about ``chunk`` rows and each pair of chunks is a block
     of its own, so a bucket that holds most rows spreads over many tasks. A block gives back a spanning forest,
@@ -176,7 +178,7 @@ def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK
     w = widths(distance)
     at = np.cumsum([0, *w]).tolist()
     segments = F.array(*(F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << w[i]) - 1)).cast("int").alias("val")) for i in range(len(w))))
-    listed = classes.select("fp", "rep", F.explode(segments).alias("s")).select("s.seg", "s.val", "fp", "rep")
+    listed = classes.select("fp", F.col("fp").alias("rep"), F.explode(segments).alias("s")).select("s.seg", "s.val", "fp", "rep")
     # at most segments * 2**16 rows, whatever the input: 40,960 for distance 4
     counts = listed.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("seg").alias("_s"), F.col("val").alias("_v"), F.ceil(F.col("n") / chunk).cast("int").alias("k"))
     dealt = listed.join(F.broadcast(counts), (F.col("seg") == F.col("_s")) & (F.col("val") == F.col("_v"))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
@@ -189,19 +191,21 @@ def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK
     blocks = blocks.repartition("block").sortWithinPartitions("block")
     edges = blocks.mapInArrow(_block_edges(distance), "a long, b long")
     found = components(edges)
-    return classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    linked = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.col("component").alias("c"))
+    named = linked.where("c is not null").groupBy("c").agg(F.min("rep").alias("least")).withColumnRenamed("c", "_c")
+    return linked.join(named, F.col("c") == F.col("_c"), "left").select("fp", F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """(id, ``fingerprint`` as 16 hex digits, ``component_id``) for every row of ``docs``.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. Rows with a null id get the
-    component of their fingerprint; null if no row with an id is in it. Repeated rows repeat in the result; ties
+    Null, empty and blank texts have fingerprint zero and link like any other. Rows with a null id link and
+    bridge like others; their component is null if no row with an id is in it. Repeated rows repeat in the result; ties
     need no rule, for the smallest id names a component. An empty table gives an empty result. Ids must be integers.
     """
     udf = text_udf(lambda texts: pa.array([fingerprint(x, words, seed) for x in texts], pa.int64()), "long")
     prints = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), udf(F.col(text_col)).alias("fp")))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     found = hamming_components(classes, distance)
     # both sides are dealt by fp anew, so that a fingerprint that a third of all rows share is split
     found = found.select(F.col("fp").alias("_fp"), "component")

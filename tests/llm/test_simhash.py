@@ -77,3 +77,9 @@ def test_components_of_large_ids(spark):
     edges = [(2**62 + i, 2**62 + i + 1) for i in range(12)] + [(-(2**63), -(2**62)), (-(2**62), -5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {2**62 + i: 2**62 for i in range(13)} | dict.fromkeys((-(2**63), -(2**62), -5), -(2**63))
+
+
+def test_null_ids_bridge(spark):
+    rows = [(0, 5), (0b1111, None), (0b11111111, 3), (-1, None)]
+    got = {r.fp: r.component for r in S.hamming_components(spark.createDataFrame(rows, "fp long, rep long"), 4).collect()}
+    assert got == {0: 3, 0b1111: 3, 0b11111111: 3, -1: None}
