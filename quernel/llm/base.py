@@ -5,26 +5,43 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the word and line contracts define it, and the letters that are folded.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text that are taken apart at a time.
+SLICE = 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one of its own; on a cluster that is an error, for executors would not find it.
+    """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"quernel-checkpoint-{os.getpid()}"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"quernel-checkpoint-{os.getpid()}"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can reach."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that its lineage ends there."""
     shared_folder(df.sparkSession)
@@ -70,6 +87,36 @@ def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, rows: int
     return F.arrow_udf(udf, kind)
 
 
+@dataclass
+class Words:
+    """Words of some texts in a row: A-Z lower-cased, ended by ASCII white space."""
+
+    words: pa.Array  # the different ones, binary
+    at: np.ndarray  # for each word its place in ``words``
+    starts: np.ndarray  # first word of each text
+    sizes: np.ndarray  # words of each text
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """``texts`` is a string array; null is an empty text."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        filled = pc.binary_length(flat).to_numpy() > 0  # a text that begins or ends with white space has an empty part there
+        if not filled.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[filled], minlength=len(sizes))
+            flat = flat.filter(pa.array(filled))
+        coded = flat.dictionary_encode()
+        return cls(coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), np.cumsum(sizes) - sizes, sizes)
+
+
+def slices(b: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in stretches of about ``size`` bytes of text; one text is never cut."""
+    lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(lengths + 1) // size
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+    return (b.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

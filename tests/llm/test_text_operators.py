@@ -13,7 +13,6 @@ from quernel.llm import chat_format as C
 from quernel.llm import decontaminate as D
 from quernel.llm import language_id as L
 from quernel.llm import line_dedup as LD
-from quernel.llm import lm_scoring as M
 from quernel.llm import secrets as S
 from quernel.llm import sharding as SH
 
@@ -232,52 +231,3 @@ def test_shards_are_minimax_over_digests(table):
     for s in set(loads):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
     assert SH.shard(table([], DOCS), 8).count() == 0
-
-
-# -- LM scoring ---------------------------------------------------------------------------------------------------------
-def test_scores(table):
-    rng = np.random.default_rng(0)
-    pair = {"a": "bcd", "b": "ef", "c": "gh", "d": "a", "e": "a", "f": "a", "g": "b", "h": "c"}
-
-    def text(n):
-        w = ["a"]
-        while len(w) < n:
-            w.append(rng.choice(list(pair[w[-1]])))
-        return " ".join(x * 3 for x in w)
-
-    rows = [(i, text(200)) for i in range(60)] + [(100, None), (101, ""), (102, "AAA never seen"), (1, text(3)), (7, "dup"), (7, "dup")]
-    docs = table(rows, DOCS, ["score", "own"])
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
-    shape = M.Shape(words=12, groups=4, classes=4, width=8, listed=10)
-    out = M.score(docs, held, shape=shape).collect()
-    is_held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    tokens = lambda t: (t or "").encode().lower().split() + [b""]
-    c = Counter(w for i, t in rows if not is_held(i) for w in tokens(t))
-    total, types = sum(c.values()), len(c)
-    expected = sorted((i, len(tokens(t)), sum(w in c for w in tokens(t)), round(sum(np.log10((c.get(w, 0) + 0.5) / (total + 0.5 * (types + 1))) for w in tokens(t)), 6)) for i, t in rows)
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == expected
-    assert {r.train_tokens for r in out} == {total}
-    assert all(np.isfinite(r.score) and r.score < 0 and r.held_out == is_held(r.doc_id) for r in out)
-    assert M.score(table([], DOCS), F.lit(False), shape=shape).count() == 0
-    assert M.score(docs, F.lit(True), shape=shape).count() == len(rows)
-
-
-def test_model_is_normalised():
-    shape = M.Shape(words=10, groups=3, classes=4, width=5, context=2)
-    words = [(b"w%d" % i, 20 - i) for i in range(14)]
-    mass, kinds = np.zeros(3), np.zeros(3)
-    for w, n in words:
-        mass[M.group_of(w, 3)] += n
-        kinds[M.group_of(w, 3)] += 1
-    v = M.Vocabulary(shape, words, sum(n for _, n in words), len(words), mass, kinds)
-    m = M.Model(v)
-    rng = np.random.default_rng(1)
-    stream = m.stream(rng.integers(0, 13, 500), np.array([0, 250]))
-    assert len(stream) == 504 and (stream[[0, 1, 252, 253]] == m.pad).all()
-    m.train(stream, rng)
-    every = np.arange(shape.classes * v.size)
-    for context in ([m.pad, m.pad], [m.pad, 3], [5, 7]):
-        # each word behind the context; the context's own words are scored too, at the front
-        one = np.array([m.pad, m.pad, *[x for x in context if x != m.pad], 0])
-        logs = [m.log_probs(np.append(one[:-1], w))[-1] for w in every]
-        assert np.isclose(np.exp(logs).sum(), 1, atol=1e-4)
