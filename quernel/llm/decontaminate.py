@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.base import fresh, others, row_key, text_udf
+from quernel.llm.base import fresh, others, text_udf
 
+#: Characters of items in one automaton: some 110 bytes each in a Python worker, so 330 MB.
+MOST_CHARS = 3_000_000
 #: Bytes that are part of a word once A-Z is lower-cased (digits, a-z and all of a non-ASCII character).
 _WORD = bytes(b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _WORD or 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -205,12 +207,13 @@ def _automaton(items: DataFrame, window: int):
     return items.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.item, r.text) for r in items.collect()], window))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_item_chars: int = 30_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_item_chars: int = MOST_CHARS) -> DataFrame:
     """``docs`` with a struct ``leak``: n_words, n_hit (long), items (sorted strings) and spans (flat first, last word numbers).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A
     document word inside any occurrence of a window is hit. Null texts and items have no words; repeated items
-    count once by id; a null item id counts as the text ``null``. Empty tables give no hits or no rows.
+    count once by id; a null item id counts as the text ``null``. Empty tables give no hits or no rows. Repeated rows repeat in the
+    result, which knows no ties. A column ``leak`` is replaced, others pass through. A very long text is scanned whole by one task.
 
     The automaton is broadcast; its size is bounded by ``most_item_chars`` characters of items. A larger benchmark
     is dealt by item hash into slices of about that size, each scanned by a pass of its own; the spans of a row are
@@ -222,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if slices == 1:
         return base.withColumn("leak", _measure(_automaton(items, window))(F.col(text_col)))
     a, b, leak = (fresh(n, taken) for n in ("_k1", "_k2", "_leak"))
-    keyed = base.withColumns(dict(zip((a, b), row_key(text_col, text_col), strict=True)))
+    keyed = base.withColumns({a: F.xxhash64(F.col(text_col).isNull(), F.col(text_col)), b: F.xxhash64(F.lit("second"), F.col(text_col))})
     found = None
     for i in range(slices):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == i)
@@ -238,11 +241,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return keyed.join(found, (F.col(a) == F.col("_j1")) & (F.col(b) == F.col("_j2"))).select(*taken, F.col(leak).alias("leak"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_coverage: float = 0.5, most_item_chars: int = 30_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, most_coverage: float = 0.5, most_item_chars: int = MOST_CHARS) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut from the texts, and rows that are mostly hits are dropped.
 
     A span is hit if it lies in occurrences of windows of ``window`` words (or of whole shorter items). A text more
-    than ``most_coverage`` of whose words are hit goes with its row. Others, null and empty texts among them, stay.
+    than ``most_coverage`` of whose words are hit goes with its row. Others, null and empty texts among them, stay. Repeated rows
+    are treated alike; an empty table, or an empty benchmark, changes nothing. A column ``leak`` is left out, others pass through.
     """
     taken = others(docs, ["leak"])
     items, slices = _items(benchmark, item_col, item_text, most_item_chars)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernel.llm.base import ASCII_SPACE, ascii_lower, checkpoint, fresh, others, row_key
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, distinct_texts: bool = False) -> DataFrame:
     """``docs`` with frequent lines removed from the text, plus ``n_lines`` and ``n_dropped`` (long).
 
     A text is split at ``\\n``; a line's key is the line stripped of ASCII white space and with A-Z lower-cased.
@@ -17,8 +17,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one empty line and come out as the empty text. Repeated rows count as one document
     (by id); null ids count as no document but lose frequent lines like any other. An empty table gives an empty
-    result. Other columns pass through, but for ``n_lines`` and
-    ``n_dropped``, which are replaced.
+    result. Other columns pass through, but for ``n_lines`` and ``n_dropped``, which are replaced. There are no ties: a line goes
+    or stays by its count alone. A very long text is one row, and its lines are rows of their own.
+
+    With ``distinct_texts`` a line's count is that of the different texts that hold it, so exact copies of a document do not make
+    its lines frequent.
 
     Only 16-byte hashes of lines are shuffled, first dealt by (line, document) so that a line in a third of all
     documents is spread, then pre-aggregated by line. The text itself crosses the network once.
@@ -34,7 +37,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), (F.char_length(key) >= min_chars).alias("ok"))
 
     seen = (
-        docs.select(F.col(id_col).alias("id"), a.alias("k1"), b.alias("k2"), F.posexplode(split).alias("pos", "line"))
+        docs.select((F.xxhash64(F.col(text_col)) if distinct_texts else F.col(id_col)).alias("id"), a.alias("k1"), b.alias("k2"), F.posexplode(split).alias("pos", "line"))
         .select("id", "k1", "k2", "pos", keyed(F.col("line")).alias("k"))
         .where("k.ok")
         .select("id", "k1", "k2", "pos", "k.h1", "k.h2")

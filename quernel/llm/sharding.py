@@ -77,10 +77,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     Size: UTF-8 bytes of the text plus 1 (null texts: 1). Rows of equal text are one atomic group and share a
     shard. Groups stand in the order of their SHA-256; the order is cut into ``shards`` contiguous parts so that
     the largest part is as small as it can be. A shard may stay empty where there are few groups. Null and empty
-    texts are equal here. Slots count from 0 within a shard without gaps; repeated rows get slots of their own.
+    texts are equal here. Slots count from 0 within a shard without gaps; repeated rows get slots of their own. An empty table gives no rows. A
+    very long text may fill a shard by itself.
 
     Group sums are pre-aggregated before the shuffle, so a text that a third of all rows repeat is one partial row
-    a task. Slots are dealt in ``slot_parts`` parts of each shard by id hash and offset by the parts' counts, so no
+    a task. Slots are dealt in ``slot_parts`` parts of each shard by a hash of id and text and offset by the parts' counts, so no
     task holds a shard and copies of one text spread out. Columns of ``docs`` named like a result column are replaced.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -94,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     number = sum(((F.col(digest) >= c).cast("int") for c in cuts), F.lit(0))
     # nothing but the columns that slots need is read twice
     placed = docs.withColumns({digest: F.sha2(text, 256), ids: F.coalesce(F.col(id_col).cast("string"), F.lit(""))}).withColumns(
-        {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "law": F.lit("bytes"), "shard": number, part: F.pmod(F.xxhash64(ids), F.lit(slot_parts)).cast("int")}
+        {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "law": F.lit("bytes"), "shard": number, part: F.pmod(F.xxhash64(ids, digest), F.lit(slot_parts)).cast("int")}
     )
     counts = placed.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))  # at most shards * slot_parts rows
     ahead = F.sum("_n").over(Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
