@@ -364,11 +364,16 @@ class Database:
     # -- writing -----------------------------------------------------------------------------------------------
 
     def rows_frame(self, table: str, rows: DataFrame | list[dict]) -> DataFrame:
-        """Dicts as a frame with their arrival order in ``_seq``; a field that only some rows have is null in the others."""
+        return self.rows_and_exprs(table, rows)[0]
+
+    def rows_and_exprs(self, table: str, rows: DataFrame | list[dict]) -> tuple[DataFrame, dict[str, list[Expr]]]:
+        """Dicts as a frame with their arrival order in ``_seq`` and the fields each supplies in ``_given``; and the expressions
+        among the values by field, which rows name by number in ``_x_<field>``.
+        """
         if isinstance(rows, DataFrame):
-            return rows
+            return rows, {}
         names = list(dict.fromkeys(k for r in rows for k in r))
-        kinds = []
+        kinds, exprs = [], {}
         schema = self.schema(table)
         for n in names:
             values = [r.get(n) for r in rows if r.get(n) is not None]
@@ -378,16 +383,25 @@ class Database:
                 kinds.append(schema.field(n).spark.simpleString())
             else:
                 raise SchemaError(f"{table} has no field {n!r}")
+            found = {repr(v): v for v in values if isinstance(v, Expr)}  # by repr, for 1 and True are equal
+            if found:
+                exprs[n] = found
         from quernel.functions.values import convert_literal
 
         def cell(n: str, kind: str, v: Any) -> Any:
-            if v is None or isinstance(v, list) or kind == "string" and isinstance(v, str):
+            if v is None or isinstance(v, Expr):
+                return None
+            if isinstance(v, list) or kind == "string" and isinstance(v, str):
                 return v
             # a text among other values: all become text, so that what cannot be converted is seen as that
             return convert_literal(v, T.StringType() if kind == "string" else schema.field(n).spark)
 
-        data = [(i, *(cell(n, k, r.get(n)) for n, k in zip(names, kinds, strict=True))) for i, r in enumerate(rows)]
-        return self.spark.createDataFrame(data, ", ".join(["_seq long", *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]))
+        def number(n: str, v: Any) -> int | None:
+            return list(exprs[n]).index(repr(v)) if isinstance(v, Expr) else None
+
+        data = [(i, list(r), *(number(n, r.get(n)) for n in exprs), *(cell(n, k, r.get(n)) for n, k in zip(names, kinds, strict=True))) for i, r in enumerate(rows)]
+        kinds = ["_seq long", "_given array<string>", *(f"`_x_{n}` int" for n in exprs), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]
+        return self.spark.createDataFrame(data, ", ".join(kinds)), {n: list(found.values()) for n, found in exprs.items()}
 
     def _parents(self, table: str) -> dict[str, DataFrame]:
         return {k.table: self.frame(k.table) for k in self.schema(table).foreign_keys if self.table_exists(k.table)}
@@ -409,12 +423,12 @@ class Database:
         return self.batch_upsert(table, [row])
 
     def batch_upsert(self, table: str, rows) -> Result:
-        plain = rows if isinstance(rows, DataFrame) else [{k: v for k, v in r.items() if not isinstance(v, Expr)} for r in rows]
-        exprs = {} if isinstance(rows, DataFrame) else {k: v for r in rows for k, v in r.items() if isinstance(v, Expr)}
-        return self._written(table, W.upsert(self.frame(table), self.rows_frame(table, plain), self.schema(table), exprs or None), "upsert")
+        frame, exprs = self.rows_and_exprs(table, rows)
+        return self._written(table, W.upsert(self.frame(table), frame, self.schema(table), exprs, parents=self._parents(table)), "upsert")
 
     def batch_update(self, table: str, rows, allow_partial_errors: bool = True) -> Result:
-        return self._written(table, W.batch_update(self.frame(table), self.rows_frame(table, rows), self.schema(table), allow_partial_errors), "update")
+        frame, exprs = self.rows_and_exprs(table, rows)
+        return self._written(table, W.batch_update(self.frame(table), frame, self.schema(table), allow_partial_errors, updates=exprs, parents=self._parents(table)), "update")
 
     def update(self, table: str, values: dict | None = None) -> UpdateBuilder:
         return UpdateBuilder(self, table, values)
@@ -609,13 +623,13 @@ class UpdateBuilder(_WriteBuilder):
         return self
 
     def run(self) -> Result:
-        written = W.update(self.db.frame(self.table), self.db.schema(self.table), self, self.changes, self.all, self.order, self.limit_rows, self.offset_rows)
+        written = W.update(self.db.frame(self.table), self.db.schema(self.table), self, self.changes, self.all, self.order, self.limit_rows, self.offset_rows, parents=self.db._parents(self.table))
         report = _checkpoint(written.report)
         if report.isEmpty():
             return Result(Status.notFound, "no row matches", report)
         if not self.partial and not report.where("error is not null").isEmpty():
             return Result(Status.validationFailed, report.where("error is not null").first().error, report)
-        return self.db._written(self.table, Written(written.frame, report), "update")
+        return self.db._written(self.table, Written(written.frame, report, written.applied), "update")
 
 
 class DeleteBuilder(_WriteBuilder):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import itertools
 import operator
+from collections.abc import Iterable
 from dataclasses import dataclass
 from enum import IntEnum
 from typing import Any
@@ -19,7 +21,7 @@ from quernel.functions.expr import Expr, compile_expr
 from quernel.functions.values import convert_column, literal
 from quernel.operators.constraints import orphans
 from quernel.plans.condition import Condition
-from quernel.schema import FieldType, KeyKind, SchemaError, Table
+from quernel.schema import Field, FieldType, KeyKind, SchemaError, Table
 
 
 class Status(IntEnum):
@@ -63,11 +65,35 @@ def _first(errors: list[Column]) -> Column:
     return F.coalesce(*errors) if errors else F.lit(None).cast("string")
 
 
+def _given(rows: DataFrame, name: str) -> Column:
+    """Whether a row supplies a field: all do, unless ``_given`` lists those that do."""
+    return F.array_contains("_given", name) if "_given" in rows.columns else F.lit(name in rows.columns)
+
+
+def rules(name: str, f: Field, value: Column, key: bool = False) -> list[Column]:
+    """What a stored value may break; each is a message or null."""
+    out = [] if f.nullable or key else [F.when(value.isNull(), F.lit(f"{name}: null"))]
+    if f.min_length:
+        out.append(F.when(F.char_length(value) < f.min_length, F.lit(f"{name}: too short")))
+    if f.min_value is not None:
+        out.append(F.when(value < f.min_value, F.lit(f"{name}: too small")))
+    if f.max_value is not None:
+        out.append(F.when(value > f.max_value, F.lit(f"{name}: too large")))
+    if f.width:
+        out.append(F.when(F.size(value) != f.width, F.lit(f"{name}: width is not {f.width}")))
+    return out
+
+
+def cut_to_length(f: Field, value: Column) -> Column:
+    return F.substring(value, 1, f.max_length) if f.max_length and f.type == FieldType.text else value
+
+
 def validate(rows: DataFrame, schema: Table, now: Column | None = None, updating: bool = False) -> DataFrame:
     """Rows as they would be stored, with ``_error``: converted, defaults filled in, over-long text cut, rules checked.
 
-    Fields that the schema lacks raise. When ``updating``, only the given fields are converted and checked. A value
-    that cannot be converted is an error, as is a null in a field that forbids it.
+    Fields that the schema lacks raise. When ``updating``, only the fields that a row supplies are converted and checked, and
+    others stay null; a field that ``_x_<name>`` gives an expression for is not checked. A value that cannot be converted is an error,
+    as is a null in a field that forbids it.
     """
     keep = [c for c in rows.columns if c.startswith("_")]
     unknown = [c for c in rows.columns if c not in schema.columns and c not in keep]
@@ -81,25 +107,20 @@ def validate(rows: DataFrame, schema: Table, now: Column | None = None, updating
         if not given and updating:
             continue
         value = convert_column(F.col(name), rows.schema[name].dataType, f) if given else F.lit(None).cast(f.spark)
-        if given:
-            errors.append(F.when(F.col(name).isNotNull() & value.isNull(), F.lit(f"{name}: not a {f.type.value if isinstance(f.type, FieldType) else f.type}")))
+        wrong = [F.when(F.col(name).isNotNull() & value.isNull(), F.lit(f"{name}: not a {f.type.value if isinstance(f.type, FieldType) else f.type}"))] if given else []
         if f.default is not None:
             value = F.coalesce(value, literal(f.default, f.spark))
         elif f.default_now:
             value = F.coalesce(value, at)
-        if f.max_length and f.type == FieldType.text:
-            value = F.substring(value, 1, f.max_length)
-        if not f.nullable and name != schema.key.name:
-            errors.append(F.when(value.isNull(), F.lit(f"{name}: null")))
-        if f.min_length:
-            errors.append(F.when(F.char_length(value) < f.min_length, F.lit(f"{name}: too short")))
-        if f.min_value is not None:
-            errors.append(F.when(value < f.min_value, F.lit(f"{name}: too small")))
-        if f.max_value is not None:
-            errors.append(F.when(value > f.max_value, F.lit(f"{name}: too large")))
-        if f.width:
-            errors.append(F.when(F.size(value) != f.width, F.lit(f"{name}: width is not {f.width}")))
+        value = cut_to_length(f, value)
+        wrong += rules(name, f, value, name == schema.key.name)
+        if updating:
+            there = _given(rows, name)
+            if f"_x_{name}" in keep:
+                there = there & F.col(f"_x_{name}").isNull()
+            value, wrong = F.when(there, value), [F.when(there, w) for w in wrong]
         cols.append(value.alias(name))
+        errors += wrong
     return rows.select(*(F.col(c) for c in keep if c != "_error"), *cols, _first(errors).alias("_error"))
 
 
@@ -131,10 +152,28 @@ def _keyed(rows: DataFrame, existing: DataFrame, schema: Table, at: dt.datetime
         base = int(now.strftime("%Y%m%d%H%M%S")) if key.kind == KeyKind.datePrefixed else int(now.replace(tzinfo=dt.UTC).timestamp() * 1000)
         first, step = max([base * keys.SEQUENCE, *(x + 1 for x in tops)]), 1
     missing = F.col(key.name).isNull() & F.col("_error").isNull()
-    # rows without a key are numbered on their own, so those with one are not moved
-    number = (F.row_number().over(Window.partitionBy(missing).orderBy(*_order(rows))) - 1) * step + F.lit(first).cast("long")
+    number = F.col("_number") * step + F.lit(first).cast("long")
     made = keys.base62(number) if key.kind == KeyKind.shortCode else number.cast("string") if text else number
-    return rows.withColumn(key.name, F.when(missing, made).otherwise(F.col(key.name)).cast(key_type(schema)))
+    # rows without a key are numbered on their own, so those with one are not moved
+    numbered = _numbered(rows.where(missing)).withColumn(key.name, made.cast(key_type(schema))).drop("_number")
+    return rows.where(~missing).withColumn(key.name, F.col(key.name).cast(key_type(schema))).unionByName(numbered)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_number`` from 0 without gaps, in arrival order if they carry one.
+
+    Arrival numbers come from lists that the driver held, so one task can take them. Rows of a frame have no order of their own: they
+    are dealt by hash, the parts are counted, and a row's number is its rank within its part plus the rows of the parts before.
+    """
+    if "_seq" in rows.columns:
+        return rows.withColumn("_number", F.row_number().over(Window.orderBy("_seq")) - 1)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (spot,) = _order(rows)
+    dealt = rows.withColumn("_part", F.pmod(spot, F.lit(parts)).cast("int"))
+    counts = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}  # a row a part
+    ahead = list(itertools.accumulate((counts.get(i, 0) for i in range(parts)), initial=0))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(spot)) - 1
+    return dealt.withColumn("_number", rank + F.get(F.array(*(F.lit(n).cast("long") for n in ahead)), F.col("_part"))).drop("_part")
 
 
 def key_type(schema: Table) -> T.DataType:
@@ -149,12 +188,17 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
     made = _keyed(validate(rows, schema, now), existing, schema)
     for label, fields in schema.unique_keys().items():
         ok = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in fields)) & F.col("_error").isNull()
-        rank = F.row_number().over(Window.partitionBy(*fields, ok).orderBy(*_order(made)))
+        (arrival,) = _order(made)
+        # rows that cannot clash are dealt by their arrival, so that nulls are no hot key
+        rank = F.row_number().over(Window.partitionBy(*fields, F.when(~ok, F.xxhash64(arrival))).orderBy(arrival))
         made = made.withColumn("_rank", rank).withColumn("_error", F.coalesce("_error", F.when(ok & (F.col("_rank") > 1), F.lit(f"{label}: twice in the batch")))).drop("_rank")
         made = _reject(made, existing.select(*fields), list(fields), f"{label}: taken")
     for fk in schema.foreign_keys:
         if fk.enabled and parents and fk.table in parents:
-            made = _reject(made, orphans(made.select(*fk.fields).distinct(), parents[fk.table], fk), list(fk.fields), f"{fk.label(schema.name)}: no parent")
+            others = parents[fk.table].select(*fk.referenced)
+            if fk.table == schema.name:  # rows of the batch may refer to one another
+                others = others.unionByName(made.where("_error is null").select(*fk.referenced))
+            made = _reject(made, orphans(made.select(*fk.fields).distinct(), others, fk), list(fk.fields), f"{fk.label(schema.name)}: no parent")
             if len(fk.fields) > 1:
                 n = sum((F.col(c).isNull().cast("int") for c in fk.fields), F.lit(0))
                 made = made.withColumn("_error", F.coalesce("_error", F.when((n > 0) & (n < len(fk.fields)), F.lit(f"{fk.label(schema.name)}: part is null"))))
@@ -164,82 +208,165 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
     return Written(existing.unionByName(made.where("_error is null").select(*existing.columns)), report)
 
 
-def _unique_guard(frame: DataFrame, schema: Table, touched: set[str]) -> str | None:
-    """The label of a unique key over touched fields that two rows now share."""
-    from quernel.operators.constraints import duplicates
+def violations(frame: DataFrame, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> DataFrame | None:
+    """(``_id``, ``_why``) of changed rows that share a unique value with another row, or refer to no parent; None if nothing can clash.
+
+    ``frame`` is the table after a write, with ``_changed`` and, for changed rows, ``_id``. Of changed rows that share a value that no
+    unchanged row has, the one of the smallest id stays. Only values of changed rows are looked up.
+    """
+    changed, parts = frame.where("_changed"), []
+    for label, fields in schema.unique_keys().items():
+        if touched & set(fields):
+            mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select(*fields).distinct()
+            held = frame.join(mine, list(fields), "left_semi").groupBy(*fields).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_changed")).alias("old"), F.min(F.when(F.col("_changed"), F.col("_id"))).alias("one"))
+            clash = changed.select("_id", *fields).join(held.where("n > 1"), list(fields)).where((F.col("old") > 0) | (F.col("_id") != F.col("one")))
+            parts.append(clash.select("_id", F.lit(f"{label}: taken").alias("_why")))
+    for fk in schema.foreign_keys:
+        if fk.enabled and touched & set(fk.fields) and parents and fk.table in parents:
+            refs = frame if fk.table == schema.name else parents[fk.table]
+            parts.append(orphans(changed.select("_id", *fk.fields), refs, fk).select("_id", F.lit(f"{fk.label(schema.name)}: no parent").alias("_why")))
+    return functools.reduce(DataFrame.unionAll, parts) if parts else None
+
+
+def _settled(made: DataFrame, merge, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, str | None]:
+    """(rows with their errors, the table after those without, what is still broken). ``merge`` makes the table from rows.
+
+    Rows that break a constraint are taken out once; if that leaves another one broken, the write fails as a whole.
+    """
+    frame = merge(made)
+    bad = violations(frame, schema, touched, parents)
+    if bad is None or (bad := bad.groupBy("_id").agg(F.min("_why").alias("_why"))).isEmpty():
+        return made, frame, None
+    made = made.join(bad.withColumnRenamed("_id", "_bad"), F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
+    frame = merge(made)
+    left = violations(frame, schema, touched, parents).select("_why").first()
+    return made, frame, left[0] if left else None
+
+
+def _merged(existing: DataFrame, made: DataFrame, schema: Table, given: list[str], exprs: dict[str, list[Expr]], now: Column | None, insert: bool) -> DataFrame:
+    """The table with the accepted rows of ``made`` in it, and ``_changed`` and ``_id``.
+
+    ``made`` has ``_id``, the row it is about, and ``_target``, the key of that row or null. Rows of one id are taken together: each
+    field has its last value in arrival order. Fields that no row supplies stay as they were, or get their default.
+    """
+    key = schema.key.name
+    seq = F.struct(*(c.alias(f"s{i}") for i, c in enumerate(_order(made))))
+    fields = [c for c in schema.columns if c in given or c in exprs]
+
+    def last(c: str) -> Column:
+        number = F.col(f"_x_{c}") if f"_x_{c}" in made.columns else F.lit(None).cast("int")
+        value = F.col(c) if c in given else F.lit(None).cast(schema.field(c).spark)
+        return F.max_by(F.struct(value.alias("v"), number.alias("x")), F.when(_given(made, c) | number.isNotNull(), seq)).alias(f"_n_{c}")
+
+    good = made.where("_error is null").groupBy("_id").agg(F.max("_target").alias("_target"), *map(last, fields))
+    old = existing.select(*(F.col(c).alias(f"_old_{c}") for c in existing.columns), F.lit(True).alias("_was"))
+    both = old.join(good, F.col("_target") == F.col(f"_old_{key}"), "full" if insert else "left")
+    was = F.coalesce("_was", F.lit(False))
+    old_of = lambda n: (F.col(f"_old_{n}"), existing.schema[n].dataType)
+    out = []
+    for c in existing.columns:
+        kind, f = existing.schema[c].dataType, schema.field(c)
+        default = literal(f.default, f.spark) if f.default is not None else now if f.default_now and now is not None else F.current_timestamp().cast("timestamp_ntz") if f.default_now else F.lit(None).cast(kind)
+        value = F.when(was, F.col(f"_old_{c}")).otherwise(F.lit(None).cast(kind) if c == key else default)
+        if c in fields:
+            n = F.col(f"_n_{c}")
+            if c == key:
+                value = F.when(was, F.col(f"_old_{c}")).otherwise(n["v"])
+            else:
+                value = F.when(n.isNotNull(), n["v"]).otherwise(value)
+            for i, e in enumerate(exprs.get(c, [])):
+                made_of = compile_expr(e, old_of, was, now)
+                new = cut_to_length(f, convert_column(made_of, both.select(made_of.alias("x")).schema["x"].dataType, f))
+                value = F.when(n["x"] == i, new.cast(kind)).otherwise(value)
+        out.append(value.cast(kind).alias(c))
+    frame = both.select(*out, F.col("_id").isNotNull().alias("_changed"), "_id")
+    if insert and schema.key.kind != KeyKind.none:
+        frame = _keyed(frame.withColumn("_error", F.lit(None).cast("string")), existing, schema).drop("_error")
+    return frame
+
+
+def _broken_rules(frame: DataFrame, schema: Table, names: Iterable[str]) -> DataFrame:
+    """Changed rows whose computed fields break a rule."""
+    why = _first([r for c in names for r in rules(c, schema.field(c), F.col(c))])
+    return frame.where(F.col("_changed")).select("_id", why.alias("_why")).where("_why is not null")
 
-    for label, key in schema.unique_keys().items():
-        if touched & set(key) and not duplicates(frame, key).isEmpty():
-            return label
-    return None
 
+def _apply(existing: DataFrame, made: DataFrame, schema: Table, given: list[str], exprs: dict[str, list[Expr]], now, insert: bool, parents) -> tuple[DataFrame, DataFrame, str | None]:
+    """``_settled`` after the rules of computed fields."""
+    merge = lambda rows: _merged(existing, rows, schema, given, exprs, now, insert)
+    if exprs:
+        bad = _broken_rules(merge(made), schema, exprs).withColumnRenamed("_id", "_bad")
+        made = made.join(bad, F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
+    touched = set(given) | set(exprs) | (set(schema.columns) if insert else set())
+    return _settled(made, merge, schema, touched if insert else touched - {schema.key.name}, parents)
 
-def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[str, Expr] | None = None, now: Column | None = None) -> Written:
+
+def _exprs(rows: DataFrame, updates: dict[str, Expr | list[Expr]] | None) -> tuple[DataFrame, dict[str, list[Expr]]]:
+    """Expressions by field. One that is no list is for all rows; of a list a row names its own by number in ``_x_<field>``."""
+    out = {}
+    for name, e in (updates or {}).items():
+        out[name] = e if isinstance(e, list) else [e]
+        if not isinstance(e, list):
+            rows = rows.withColumn(f"_x_{name}", F.lit(0))
+    return rows, out
+
+
+def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[str, Expr | list[Expr]] | None = None, now: Column | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
     """Updates the row that a new row matches, by primary key or else by any complete unique key; inserts it if none.
 
-    Only given fields change. Of several rows that match one, the last in arrival order counts. A row whose unique
-    keys match different rows is rejected. ``updates`` are expressions that see the old row; for inserts fields count as 0.
+    Only the fields that a row supplies change. Of several rows that match one, the last in arrival order counts, field by field. A
+    row is rejected if its unique keys match different rows, if it leaves a unique value or a foreign key broken, or if it is new and lacks a
+    field that may not be null. ``updates`` are expressions that see the old row; for inserts fields count as 0.
     """
     key = schema.key.name
+    rows, exprs = _exprs(rows, updates)
     given = [c for c in rows.columns if c in schema.columns]
     made = validate(rows, schema, now, updating=True)
-    targets = []
-    for i, fields in enumerate(schema.unique_keys().values()):
+    targets, owns = [], []
+    for i, (label, fields) in enumerate(schema.unique_keys().items()):
         if not set(fields) <= set(given):
             continue
         hit = existing.select(*(F.col(c).alias(f"_u{j}") for j, c in enumerate(fields)), F.col(key).alias(f"_t{i}"))
         made = made.join(hit, functools.reduce(operator.and_, (F.col(c) == F.col(f"_u{j}") for j, c in enumerate(fields))), "left").drop(*(f"_u{j}" for j in range(len(fields))))
         targets.append(f"_t{i}")
+        owns.append(F.when(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields)), F.to_json(F.struct(F.lit(label).alias("_key"), *fields))))
     target = F.coalesce(*targets) if targets else F.lit(None).cast(existing.schema[key].dataType)
-    split = functools.reduce(operator.or_, (F.col(t).isNotNull() & (F.col(t) != target) for t in targets), F.lit(False)) if targets and key not in given else F.lit(False)
+    split = functools.reduce(operator.or_, (F.col(t).isNotNull() & (F.col(t) != target) for t in targets), F.lit(False))
     made = made.withColumn("_target", target).withColumn("_error", F.coalesce("_error", F.when(split, F.lit("matches several rows")))).drop(*targets)
-    # identity of a row within the batch: what it matches, else its own key
-    fields = next((f for f in schema.unique_keys().values() if set(f) <= set(given)), None)
-    own = F.to_json(F.struct(*(fields or given)))
-    made = made.withColumn("_id", F.coalesce(F.col("_target").cast("string"), own))
-    seq = F.struct(*(c.alias(f"s{i}") for i, c in enumerate(_order(made))))
-    good = made.where("_error is null").groupBy("_id").agg(F.max_by(F.struct("_target", *given), seq).alias("r")).select("r.*")
-    old = existing.select(*(F.col(c).alias(f"_old_{c}") for c in existing.columns), F.lit(True).alias("_was"))
-    both = good.join(old, F.col("_target") == F.col(f"_old_{key}"), "full")
-    was = F.coalesce("_was", F.lit(False))
-    hit = F.coalesce(F.col("_target").isNotNull(), F.lit(False)) if not given else F.when(was, F.col("_target").isNotNull()).otherwise(F.lit(True))
-    old_of = lambda n: (F.col(f"_old_{n}"), existing.schema[n].dataType)
-    out = []
-    for c in existing.columns:
-        kind, f = existing.schema[c].dataType, schema.field(c)
-        before, default = F.col(f"_old_{c}"), literal(f.default, f.spark) if f.default is not None else F.lit(None).cast(kind)
-        if updates and c in updates:
-            new = convert_column(compile_expr(updates[c], old_of, was, now), both.select(compile_expr(updates[c], old_of, was, now).alias("x")).schema["x"].dataType, f)
-        elif c == key:
-            new = F.when(was, before).otherwise(F.col(c) if c in given else F.lit(None).cast(kind))
-        else:
-            new = F.col(c) if c in given else F.when(was, before).otherwise(default)
-        out.append(F.when(was & ~hit, before).otherwise(new).cast(kind).alias(c))
-    frame = both.select(*out)
-    if key not in given and schema.key.kind != KeyKind.none:
-        frame = _keyed(frame.withColumn("_error", F.lit(None).cast("string")), existing, schema).drop("_error")
+    lacking = []
+    for f in schema.fields:
+        if not f.nullable and f.default is None and not f.default_now:
+            there = _given(made, f.name) | (F.col(f"_x_{f.name}").isNotNull() if f"_x_{f.name}" in made.columns else F.lit(False))
+            lacking.append(F.when(F.col("_target").isNull() & ~there, F.lit(f"{f.name}: null")))
+    made = made.withColumn("_error", F.coalesce("_error", _first(lacking)))
+    # identity of a row within the batch: what it matches, else its own key, else itself
+    itself = F.concat(F.lit("row "), F.col("_seq").cast("string")) if "_seq" in made.columns else F.to_json(F.struct(*given))
+    made = made.withColumn("_id", F.coalesce(F.col("_target").cast("string"), *owns, itself))
+    made, frame, broken = _apply(existing, made, schema, given, exprs, now, True, parents)
     action = F.when(F.col("_target").isNull(), "insert").otherwise("update")
-    return Written(frame, made.select((F.coalesce("_target", key) if key in given else F.col("_target")).alias("key"), action.alias("action"), F.col("_error").alias("error")))
+    report = made.select((F.coalesce("_target", key) if key in given else F.col("_target")).alias("key"), action.alias("action"), F.col("_error").alias("error"))
+    if broken:
+        return Written(existing, report.withColumn("error", F.lit(broken)), False)
+    return Written(frame.select(*existing.columns), report)
 
 
-def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: bool = True, now: Column | None = None) -> Written:
-    """Updates rows by primary key; only given fields change. Unknown keys are errors; of equal keys the last row counts."""
+def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: bool = True, now: Column | None = None, updates: dict[str, Expr | list[Expr]] | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
+    """Updates rows by primary key; only the fields that a row supplies change. Unknown keys are errors, as are unique values that
+    another row has and parents that are missing; of equal keys the last row counts, field by field. ``updates`` as for ``upsert``.
+    """
     key = schema.key.name
-    given = [c for c in rows.columns if c in schema.columns and c != key]
+    rows, exprs = _exprs(rows, updates)
+    given = [c for c in rows.columns if c in schema.columns]
     made = validate(rows, schema, now, updating=True)
-    known = existing.select(F.col(key).alias("_k"))
-    made = made.join(known, F.col(key) == F.col("_k"), "left").withColumn("_error", F.coalesce("_error", F.when(F.col("_k").isNull(), F.lit("no such key")))).drop("_k")
+    known = existing.select(F.col(key).alias("_target"))
+    made = made.join(known, F.col(key) == F.col("_target"), "left").withColumn("_error", F.coalesce("_error", F.when(F.col("_target").isNull(), F.lit("no such key")))).withColumn("_id", F.col("_target").cast("string"))
+    made, frame, broken = _apply(existing, made, schema, given, exprs, now, False, parents)
     report = made.select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
+    if broken:
+        return Written(existing, report.withColumn("error", F.lit(broken)), False)
     if not allow_partial and not report.where("error is not null").isEmpty():
         return Written(existing, report, False)
-    seq = F.struct(*(c.alias(f"s{i}") for i, c in enumerate(_order(made))))
-    last = made.where("_error is null").groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*given), seq).alias("_new"))
-    joined = existing.join(last, F.col(key) == F.col("_k"), "left")
-    frame = joined.select(*(F.when(F.col("_k").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in existing.columns))
-    broken = _unique_guard(frame, schema, set(given))
-    if broken:
-        return Written(existing, report.withColumn("error", F.lit(f"{broken}: taken")))
-    return Written(frame, report)
+    return Written(frame.select(*existing.columns), report)
 
 
 def chosen(existing: DataFrame, schema: Table, where: Condition, order: list[tuple[str, bool]] | None = None, limit: int | None = None, offset: int | None = None) -> Column | DataFrame:
@@ -262,14 +389,16 @@ def _flag(existing: DataFrame, schema: Table, pick: Column | DataFrame) -> tuple
     return existing.join(pick.select(F.col(key).alias("_pick")), F.col(key) == F.col("_pick"), "left"), F.col("_pick").isNotNull()
 
 
-def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[str, Any], allow_all: bool = False, order=None, limit=None, offset=None, now: Column | None = None) -> Written:
+def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[str, Any], allow_all: bool = False, order=None, limit=None, offset=None, now: Column | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
     """Sets fields to values or expressions in the rows that match. Primary keys do not change here. No match is ``notFound``.
 
-    Two rows may not come out with one unique value; then nothing changes.
+    Rules hold as for new rows. A row that would come out with a unique value that another row has, or without its parent, stays
+    as it was and is reported.
     """
     if where.is_empty and not allow_all and limit is None:
         raise ValueError("an update without a predicate needs allow_all")
-    if schema.key.name in changes:
+    key = schema.key.name
+    if key in changes:
         raise SchemaError("the primary key changes by rekey only")
     flagged, hit = _flag(existing, schema, chosen(existing, schema, where, order, limit, offset))
     cols, errors = {}, []
@@ -280,23 +409,23 @@ def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[s
             new = convert_column(new, existing.select(new.alias("x")).schema["x"].dataType, f)
         else:
             new = literal(value, f.spark)
-        if f.max_length and f.type == FieldType.text:
-            new = F.substring(new, 1, f.max_length)
-        if not f.nullable:
-            errors.append(F.when(new.isNull(), F.lit(f"{name}: null")))
-        if f.min_value is not None:
-            errors.append(F.when(new < f.min_value, F.lit(f"{name}: too small")))
-        if f.max_value is not None:
-            errors.append(F.when(new > f.max_value, F.lit(f"{name}: too large")))
+            if value is not None:
+                errors.append(F.when(new.isNull(), F.lit(f"{name}: not a {FieldType(f.type).value}")))
+        new = cut_to_length(f, new)
+        errors += rules(name, f, new)
         cols[name] = new.cast(existing.schema[name].dataType)
-    marked = flagged.withColumn("_error", F.when(hit, _first(errors))).withColumn("_hit", hit & F.col("_error").isNull())
-    # all right-hand sides see the old row
-    frame = marked.select(*(F.when(F.col("_hit"), cols[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in existing.columns))
-    report = marked.where(hit).select(F.col(schema.key.name).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
-    broken = _unique_guard(frame, schema, set(changes))
+    marked = flagged.withColumn("_hit", hit).withColumn("_error", F.when(F.col("_hit"), _first(errors))).withColumn("_id", F.when(F.col("_hit"), F.col(key).cast("string")))
+
+    def merge(rows: DataFrame) -> DataFrame:
+        """All right-hand sides see the old row."""
+        change = F.col("_hit") & F.col("_error").isNull()
+        return rows.select(*(F.when(change, cols[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in existing.columns), change.alias("_changed"), "_id")
+
+    marked, frame, broken = _settled(marked, merge, schema, set(changes), parents)
+    report = marked.where("_hit").select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
     if broken:
-        return Written(existing, report.withColumn("error", F.lit(f"{broken}: taken")))
-    return Written(frame, report)
+        return Written(existing, report.withColumn("error", F.lit(broken)), False)
+    return Written(frame.select(*existing.columns), report)
 
 
 def delete(existing: DataFrame, schema: Table, where: Condition, allow_all: bool = False, order=None, limit=None, offset=None) -> Written:

@@ -81,6 +81,69 @@ def test_updates(db):
     assert db.delete("users").order_by_desc("age").limit(1).run().is_success and db.query("users").count() == 4
 
 
+def test_rows_change_only_what_they_supply(db):
+    before = {r.id: r for r in db.query("users").df().collect()}
+    assert db.batch_update("users", [{"id": 1, "age": 50}, {"id": 2, "fans": 60}, {"id": 3, "age": None}, {"id": 1, "fans": 7}]).is_success
+    after = {r.id: r for r in db.query("users").df().collect()}
+    assert (after[1].age, after[1].fans) == (50, 7) and (after[2].age, after[2].fans) == (before[2].age, 60)
+    assert (after[1].email, after[2].username) == (before[1].email, before[2].username) and after[3].age == 18 and after[4] == before[4]
+    assert db.batch_upsert("users", [{"id": 1, "age": 51}, {"id": 2, "fans": 61}, {"username": "fresh", "email": "f@x"}]).is_success
+    after = {r.username: r for r in db.query("users").df().collect()}
+    assert (after["user_1"].age, after["user_1"].fans, after["user_2"].age, after["user_2"].fans) == (51, 7, 20, 61)
+    assert (after["fresh"].age, after["fresh"].fans) == (18, 10)
+
+
+def test_expressions_belong_to_their_rows(db):
+    assert db.batch_upsert("users", [{"id": 1, "age": 7}, {"id": 2, "age": X.field("age") + 100}, {"id": 3, "age": X.field("age") * 2}, {"id": 4, "fans": 1}]).is_success
+    assert [r.age for r in db.query("users").order_by_asc("id").df().collect()] == [7, 120, 60, 40, 50]
+    assert db.batch_update("users", [{"id": 1, "age": X.field("age") - 1}, {"id": 2, "fans": X.field("fans") + X.field("age")}]).is_success
+    rows = {r.id: r for r in db.query("users").df().collect()}
+    assert (rows[1].age, rows[2].age, rows[2].fans) == (6, 120, 320)
+
+
+def test_no_write_leaves_an_orphan(db):
+    db.batch_insert("posts", [{"title": "p1", "user_id": 1}, {"title": "p2", "user_id": 2}])
+    assert db.upsert("posts", {"title": "p", "user_id": 777}).is_failed
+    assert db.upsert("posts", {"id": 1, "user_id": 777}).is_failed
+    assert db.update("posts").where("id", "=", 1).set_field("user_id", 777).run().is_failed
+    assert db.batch_update("posts", [{"id": 1, "user_id": 888}, {"id": 2, "user_id": 3}]).is_partial
+    assert [(r.id, r.user_id) for r in db.query("posts").order_by_asc("id").df().collect()] == [(1, 1), (2, 3)]
+    node = Table("node", (Field("next", T.integer),), foreign_keys=(ForeignKey(("next",), "node", ("id",)),))
+    own = Database.memory(db.spark, [node])
+    assert own.batch_insert("node", [{"id": 1, "next": 2}, {"id": 2, "next": 1}]).is_success
+    assert own.upsert("node", {"id": 3, "next": 3}).is_success and own.upsert("node", {"id": 4, "next": 9}).is_failed
+
+
+def test_no_write_shares_a_unique_value(db):
+    assert db.upsert("users", {"id": 1, "email": "u2@x"}).is_failed
+    r = db.batch_upsert("users", [{"username": "n1", "email": "new@x"}, {"username": "n2", "email": "new@x"}, {"username": "n3"}])
+    assert r.is_partial and len(r.failed_keys) == 1
+    assert db.query("users").where("email", "=", "new@x").count() == 1 and db.query("users").where("username", "=", "n3").count() == 1
+    assert db.batch_update("users", [{"id": 1, "email": "u10@x"}, {"id": 2, "age": 1}]).is_partial
+    rows = {r.id: r for r in db.query("users").df().collect()}
+    assert rows[1].email == "u1@x" and rows[2].age == 1
+    swap = [{"id": 1, "email": "u2@x"}, {"id": 2, "email": "u1@x"}]
+    assert db.batch_update("users", swap).is_success and db.query("users").where("id", "=", 1).first().email == "u2@x"
+    assert db.upsert("users", {"age": 3}).is_failed  # a new user needs a name
+
+
+def test_updates_keep_all_rules(spark):
+    t = Table("t", (Field("name", T.text, min_length=3, max_length=5), Field("n", T.integer, max_value=10), Field("v", T.vector, width=2)))
+    db = Database.memory(spark, [t])
+    assert db.insert("t", {"name": "abc", "n": 1, "v": [1.0, 2.0]}).is_success
+    for bad in ({"name": "x"}, {"n": 11}, {"v": [1.0]}, {"n": "many"}, {"n": X.field("n") + 10}):
+        assert db.update("t", bad).where("id", "=", 1).run().is_failed, bad
+        assert db.batch_update("t", [{"id": 1} | bad]).is_failed, bad
+        assert db.upsert("t", {"id": 1} | bad).is_failed, bad
+    assert db.update("t", {"name": "abcdefgh"}).where("id", "=", 1).run().is_success and db.query("t").first().name == "abcde"
+
+
+def test_keys_of_frames_are_numbered_in_parts(spark):
+    db = Database.memory(spark, [Table("t", (Field("x", T.integer), Field("u", T.text, unique=True)))])
+    assert db.batch_insert("t", spark.range(1000).select(F.col("id").alias("x"))).is_success
+    assert sorted(r.id for r in db.query("t").df().collect()) == list(range(1, 1001))
+
+
 def test_cascades(db):
     db.batch_insert("posts", [{"title": "p1", "user_id": 1}, {"title": "p2", "user_id": 2}])
     db.batch_insert("comments", [{"post_id": 1, "user_id": 2}])
