@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that are taken apart at a time.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,6 +77,13 @@ def others(docs: DataFrame, made: list[str]) -> list[str]:
     return [c for c in docs.columns if c.lower() not in low]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is kept, and what a task held should not be the next one's burden."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, rows: int = 256):
     """An Arrow UDF over one text column. ``work`` gets some rows' texts at a time, so that few are Python strings at once."""
 
@@ -82,7 +91,7 @@ def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, rows: int
         for texts in batches:
             parts = [work(texts.slice(i, rows).to_pylist()) for i in range(0, len(texts), rows)] or [work([])]
             yield pa.concat_arrays(parts)
-        pa.default_memory_pool().release_unused()  # workers are kept: what a task held is not the next stage's burden
+        give_back()
 
     return F.arrow_udf(udf, kind)
 
@@ -114,7 +123,10 @@ def slices(b: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.Rec
     lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64)
     part = np.cumsum(lengths + 1) // size
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
-    return (b.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        if e > s:
+            yield b.slice(s, e - s)
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -311,7 +311,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 tokens = Tokens.of(part.column("text"))
                 for word, n in zip(tokens.words.to_pylist(), np.bincount(tokens.at, minlength=len(tokens.words)).tolist(), strict=True):
                     seen[word] += n
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield batch()
         if seen:
             yield batch()
