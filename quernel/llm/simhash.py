@@ -15,6 +15,8 @@ from quernel.llm.base import checkpoint, components, fresh, text_udf
 BITS = 64
 #: Rows of one side of a comparison block: a pair matrix of at most CHUNK * CHUNK 64-bit words is in memory at a time.
 CHUNK = 1024
+#: Chunks of a bucket beyond which it is dealt by two segments: about as many as each row is then listed for.
+COARSE = 16
 
 
 def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -146,13 +148,13 @@ def _block_edges(distance: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block, seg, side, fp, rep = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "seg", "side", "fp", "rep"))
+            block, pair, seg, side, fp, rep = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "pair", "seg", "side", "fp", "rep"))
             fp = fp.view(np.uint64)
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist(), len(block)]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if last is not None and block[s] != last and (x := flush()):
+                if last is not None and (block[s], pair[s]) != last and (x := flush()):
                     found.append(x)
-                last = block[s]
+                last = (block[s], pair[s])
                 held.append((seg[s:e], side[s:e], fp[s:e], rep[s:e]))
             if sum(len(x[0]) for x in found) > 50_000:
                 yield made(found)
@@ -165,14 +167,36 @@ def _block_edges(distance: int):
     return work
 
 
-def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK) -> DataFrame:
+def _refined(dealt: DataFrame, w: list[int], distance: int, chunk: int) -> DataFrame:
+    """Rows of large buckets under finer ones: the segment's value and the next segment's but for one bit.
+
+    A chain of two segments may differ in one bit at most, and the first agrees; so the second agrees but for some bit, and two
+    fingerprints share the bucket that leaves that bit out. Each row is listed once for each bit.
+    """
+    m = len(w)
+    at = np.cumsum([0, *w]).tolist()
+    assert 2 * distance // m <= 1
+    lists = F.lit(None).cast("array<int>")
+    for i in range(m):
+        k = (i + 1) % m
+        value = F.shiftrightunsigned("fp", at[k]).bitwiseAND(F.lit((1 << w[k]) - 1)).cast("int")
+        subs = F.array(*(value.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit((bit + 1) << 16)) for bit in range(w[k])))
+        lists = F.when(F.col("seg") == i, subs).otherwise(lists)
+    finer = dealt.select("seg", "val", "fp", "rep", F.explode(lists).alias("sub"))
+    counts = finer.groupBy("seg", "val", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = counts.select(F.col("seg").alias("_s"), F.col("val").alias("_v"), F.col("sub").alias("_u"), F.ceil(F.col("n") / chunk).cast("int").alias("k"))
+    return finer.join(counts, (F.col("seg") == F.col("_s")) & (F.col("val") == F.col("_v")) & (F.col("sub") == F.col("_u"))).select("seg", "val", "sub", "fp", "rep", "k")
+
+
+def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK, coarse: int = COARSE) -> DataFrame:
     """``classes`` has distinct ``fp`` and their ``rep`` (both long). Returns (fp, component), the smallest reachable rep.
 
     A null rep links like any other; the component is null if no reachable fingerprint has a rep.
 
     Every fingerprint is listed once for each of its segments under (segment, value): links share at
-    least one. A bucket of any size is cut into chunks of about ``chunk`` rows and each pair of chunks is a block
-    of its own, so a bucket that holds most rows spreads over many tasks. A block gives back a spanning forest,
+    least one. A bucket of more than ``coarse`` chunks of ``chunk`` rows is dealt anew by chains of two segments, which have some
+    8192 times as many values for 13 times as many rows. What is left of a bucket is cut into chunks, and each pair of chunks is a
+    block of its own, so a bucket that holds most rows spreads over many tasks. A block gives back a spanning forest,
     at most one edge a row, never the pairs.
     """
     w = widths(distance)
@@ -181,14 +205,17 @@ def hamming_components(classes: DataFrame, distance: int = 4, chunk: int = CHUNK
     listed = classes.select("fp", F.col("fp").alias("rep"), F.explode(segments).alias("s")).select("s.seg", "s.val", "fp", "rep")
     # at most segments * 2**16 rows, whatever the input: 40,960 for distance 4
     counts = listed.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("seg").alias("_s"), F.col("val").alias("_v"), F.ceil(F.col("n") / chunk).cast("int").alias("k"))
-    dealt = listed.join(F.broadcast(counts), (F.col("seg") == F.col("_s")) & (F.col("val") == F.col("_v"))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    counts = checkpoint(counts)
+    dealt = listed.join(F.broadcast(counts), (F.col("seg") == F.col("_s")) & (F.col("val") == F.col("_v"))).select("seg", "val", F.lit(0).alias("sub"), "fp", "rep", "k")
+    if not counts.where(F.col("k") > coarse).isEmpty():
+        dealt = dealt.where(F.col("k") <= coarse).unionAll(_refined(dealt.where(F.col("k") > coarse), w, distance, chunk))
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     i, j = F.least("c", "o").cast("long"), F.greatest("c", "o").cast("long")
-    # 20 bits for each chunk number: buckets of up to a thousand million fingerprints
-    block = (((F.col("seg").cast("long") * (1 << 16) + F.col("val")) * (1 << 20)) + i) * (1 << 20) + j
+    block = (F.col("seg").cast("long") * (1 << 16) + F.col("val")) * (1 << 21) + F.col("sub")
     blocks = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        block.alias("block"), "seg", F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"), "fp", "rep"
+        block.alias("block"), (i * (1 << 31) + j).alias("pair"), "seg", F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"), "fp", "rep"
     )
-    blocks = blocks.repartition("block").sortWithinPartitions("block")
+    blocks = blocks.repartition("block", "pair").sortWithinPartitions("block", "pair")
     edges = blocks.mapInArrow(_block_edges(distance), "a long, b long")
     found = components(edges)
     linked = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.col("component").alias("c"))
@@ -201,7 +228,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have fingerprint zero and link like any other. Rows with a null id link and
     bridge like others; their component is null if no row with an id is in it. Repeated rows repeat in the result; ties
-    need no rule, for the smallest id names a component. An empty table gives an empty result. Ids must be integers.
+    need no rule, for the smallest id names a component. An empty table gives an empty result. Ids must be integers. Other columns
+    are not passed on, so none can clash. A very long text is hashed whole by one task.
     """
     udf = text_udf(lambda texts: pa.array([fingerprint(x, words, seed) for x in texts], pa.int64()), "long")
     prints = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), udf(F.col(text_col)).alias("fp")))
@@ -215,7 +243,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` with one row kept of each component: the one of the smallest id. Rows with null ids are kept as they are."""
+    """``docs`` with one row kept of each component: the one of the smallest id. Rows with null ids are kept as they are.
+
+    Of rows that repeat an id one is kept. Empty tables stay empty; columns pass through whatever their names.
+    """
     keep = simhash_components(docs, id_col, text_col, words, distance, seed).where(F.col(id_col) == F.col("component_id"))
     key = fresh("_keep", docs.columns)
     keep = checkpoint(keep.select(F.col(id_col).alias(key)).distinct())

@@ -54,9 +54,10 @@ def test_chunks_of_one_bucket(spark):
     base = int(rng.integers(1 << 62))
     prints = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (80, 2))})
     frame = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    got = {r.fp: r.component for r in S.hamming_components(frame, 4, chunk=8).collect()}
     expected = flood(prints, {p: p for p in prints})
-    assert got == {p: prints.index(expected[p]) for p in prints}
+    for coarse in (100, 2):  # by one segment, and large buckets by two
+        got = {r.fp: r.component for r in S.hamming_components(frame, 4, chunk=8, coarse=coarse).collect()}
+        assert got == {p: prints.index(expected[p]) for p in prints}
 
 
 def test_empty_and_null_ids(table):
