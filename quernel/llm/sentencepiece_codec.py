@@ -11,17 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.base import others
+from quernel.llm.base import give_back, others
 
 #: Fixed values of the model format: the escaped space, and the piece types.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 #: Entries of the memo of units, and of piece pairs, that one Python worker keeps before it starts afresh.
-MEMO = 200_000
+MEMO = 300_000
 PAIRS = 400_000
-#: Units of at most so many characters are kept in the memo, and fit the window whole.
-SHORT = 48
 
 
 class Codec:
@@ -55,6 +53,7 @@ class Codec:
         self.unit = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing and kind == BPE else None
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the memo that was full before: words in use move on
+        self.commits, self.widest = 0, 0  # boundaries committed, and the most positions in a window
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
 
@@ -139,62 +138,99 @@ class Codec:
             else:
                 end_b, y = rank_y, halves(y)[0]
 
-    def segment(self, text: Iterable[str]) -> Iterator[str]:
-        """Pieces of an escaped text, given character by character, in constant memory.
+    def segment(self, text: str) -> list[str]:
+        """Pieces of an escaped text, committed window by window."""
+        return [p for part in self.stream([text]) for p in part]
 
-        Only the last ``longest`` positions can be the start of a later piece. Whenever their back-pointer paths
-        have all met in one boundary, the pieces up to it are yielded and forgotten.
+    def stream(self, units: Iterable[str]) -> Iterator[list[str]]:
+        """The pieces of each unit, by streaming Viterbi over a window of the lattice.
+
+        Position n of the window holds the piece that ends there on its best path. Only the last ``longest`` positions can be the start
+        of a later piece; whenever their back-pointer paths have all met in one boundary, the pieces up to it are committed
+        and their positions forgotten, so the window holds a few times ``longest`` positions, whatever the unit. At a unit's end all paths meet.
+
+        Units are independent of each other (no piece crosses their borders). One that begins like the unit before goes on from the
+        positions they share, if these are still in the window: in alphabetical order that saves most of the work.
         """
-        known, longest, bpe, ends = self.id, self.longest, self.kind == BPE, self.ends
-        last: dict[int, str | None] = {0: None}  # position -> the piece that ends there on its best path
-        value = {0: 0.0}
-        window, start, n = "", 0, 0  # characters from position `start` on
-        done, due = 0, 2 * longest
-        for c in text:
-            window += c
-            n += 1
-            best, chosen = None, None
-            fitting = []
-            for size in range(1, min(longest, n - done) + 1):
-                j = n - size
-                piece = window[j - start :]
-                if size > 1 and piece not in ends:
-                    break
-                if j in last and (size == 1 or piece in known):
-                    fitting.append((j, piece))
-            for j, piece in reversed(fitting):  # long pieces are the likelier ones
-                if bpe:
-                    if self._fits(last[j], piece):
-                        chosen = piece
-                        break
-                else:
-                    v = value[j] + (self.score[piece] if piece in known else self.worst)
-                    if best is None or v > best:
-                        best, chosen = v, piece
-            if chosen is not None:
-                last[n], value[n] = chosen, best or 0.0
-            if n >= due:
-                alive = {p for p in range(max(done, n - longest + 1), n + 1) if p in last}
-                while len(alive) > 1:
-                    top = max(alive)
-                    alive.remove(top)
-                    alive.add(top - len(last[top]))
-                meet = alive.pop()
-                if meet > done:
-                    yield from self._path(last, done, meet)
-                    for p in [p for p in last if p < meet]:
-                        del last[p], value[p]
-                    window, start, done = window[meet - start :], meet, meet
-                due = n + longest
-        yield from self._path(last, done, n)
+        known, ends, longest, bpe, pairs, fits = self.id, self.ends, self.longest, self.kind == BPE, self.pairs, self._fits
+        last: list[str | None] = [None]  # at n - done
+        value = [0.0]
+        out: list[str] = []  # what is committed of the unit, up to position `done`
+        done, before = 0, ""
+        for u in units:
+            same, most = 0, min(len(u), len(before))
+            while same < most and u[same] == before[same]:
+                same += 1
+            if same < done:
+                same = done = 0
+                last, value, out = [None], [0.0], []
+            del last[same - done + 1 :], value[same - done + 1 :]
+            n, size = same, len(u)
+            due = max(same, done + 2 * longest)
+            while n < size:
+                stop = min(due, size)
+                for n in range(n + 1, stop + 1):
+                    piece = u[n - 1]
+                    fitting = [piece]
+                    j = n - 2
+                    while piece in ends and j >= done:
+                        piece = u[j:n]
+                        if piece in known:
+                            fitting.append(piece)
+                        j -= 1
+                    top, chosen = n - done, None
+                    if bpe:
+                        for piece in reversed(fitting):  # long pieces are the likelier ones
+                            prior = last[top - len(piece)]
+                            if prior is None and n > len(piece):
+                                continue
+                            ok = pairs.get((prior, piece))
+                            if fits(prior, piece) if ok is None else ok:
+                                chosen = piece
+                                break
+                    else:
+                        best = 0.0
+                        for piece in reversed(fitting):
+                            j = top - len(piece)
+                            if last[j] is not None or n == len(piece):
+                                v = value[j] + (self.score[piece] if piece in known else self.worst)
+                                if chosen is None or v > best:
+                                    best, chosen = v, piece
+                        value.append(best)
+                    last.append(chosen)
+                if n >= due:
+                    self.widest = max(self.widest, len(last))
+                    meet = self._meet(last, done, n)
+                    if meet > done:
+                        out += self._path(last, meet - done)
+                        del last[: meet - done], value[: meet - done]
+                        done = meet
+                        self.commits += 1
+                    due = n + longest
+            self.commits += 1
+            before = u
+            tail = self._path(last, size - done)
+            yield out + tail if out else tail
+
+    def _meet(self, last: list[str | None], done: int, n: int) -> int:
+        """The last boundary that all surviving paths at position n have in common."""
+        alive = {p for p in range(max(done, n - self.longest + 1), n + 1) if p == done or last[p - done] is not None}
+        while len(alive) > 1:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(top - len(last[top - done]))
+        return alive.pop()
 
     @staticmethod
-    def _path(last: dict[int, str | None], low: int, high: int) -> list[str]:
+    def _path(last: list[str | None], at: int) -> list[str]:
+        """Pieces from where the window begins to its position ``at``."""
         out = []
-        while high > low:
-            out.append(last[high])
-            high -= len(last[high])
-        return out[::-1]
+        while at:
+            piece = last[at]
+            out.append(piece)
+            at -= len(piece)
+        out.reverse()
+        return out
 
     def _ids(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -213,10 +249,10 @@ class Codec:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of some texts. Units that the memo lacks are segmented in order, each going on from the prefix it shares with the last."""
+        """Ids of some texts: their units are streamed, or taken from the memo if the stream has met them before."""
         escaped = [(SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
         if self.unit is None or not self.bytes:
-            return [self._ids(self.segment(t)) for t in escaped]
+            return [self._ids(p for part in self.stream([t]) for p in part) for t in escaped]
         units = [self.unit.findall(t) for t in escaped]
         memo, older = self.memo, self.older
         missing = {u for own in units for u in own if u not in memo}
@@ -230,61 +266,22 @@ class Codec:
                 fresh.append(u)
             else:
                 memo[u] = ids
-        self._segment_sorted(sorted(fresh))
+        fresh.sort()
+        id_of = self.id.get
+        for u, pieces in zip(fresh, self.stream(fresh), strict=True):
+            ids = tuple([id_of(p) for p in pieces])
+            memo[u] = tuple(self._ids(pieces)) if None in ids else ids
         out = []
         for own in units:
             ids = []
             for u in own:
                 ids += memo[u]
             out.append(ids)
+        for u in fresh:
+            if len(u) > 4 * self.longest:  # long ones hardly come again
+                memo.pop(u, None)
         return out
 
-    def _segment_sorted(self, units: list[str]) -> None:
-        """``segment`` of units in alphabetical order, to the memo. The window holds a short unit whole, so its back pointers serve the next."""
-        known, ends, pairs, memo, byte_of, id_of = self.id, self.ends, self.pairs, self.memo, self.bytes, self.id
-        last: list[str | None] = [None]
-        before = ""
-        for u in units:
-            size = len(u)
-            if size > SHORT:
-                memo[u] = tuple(self._ids(self.segment(u)))
-                continue
-            same, most = 0, min(size, len(before))
-            while same < most and u[same] == before[same]:
-                same += 1
-            del last[same + 1 :]
-            for n in range(same + 1, size + 1):
-                piece = u[n - 1]
-                fitting = [piece]
-                j = n - 2
-                while piece in ends and j >= 0:
-                    piece = u[j:n]
-                    if piece in known:
-                        fitting.append(piece)
-                    j -= 1
-                chosen = None
-                for piece in reversed(fitting):
-                    j = n - len(piece)
-                    prior = last[j]
-                    if j and prior is None:
-                        continue
-                    ok = pairs.get((prior, piece))
-                    if self._fits(prior, piece) if ok is None else ok:
-                        chosen = piece
-                        break
-                last.append(chosen)
-            before = u
-            ids, n = [], size
-            while n:
-                piece = last[n]
-                i = id_of.get(piece)
-                if i is not None:
-                    ids.append(i)
-                else:
-                    ids += [byte_of[b] for b in reversed(piece.encode())]
-                n -= len(piece)
-            memo[u] = tuple(reversed(ids))
-
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids))
         return out[1:] if self.dummy_prefix and out[:1] == b" " else out
@@ -299,8 +296,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
 
     The model file is read on the driver and its vocabulary broadcast (some tens of thousands of pieces). Null and
     empty texts have no ids; null has ``round_trip`` null. A text that holds the escaped space itself comes back
-    with spaces there, so its ``round_trip`` is false. Whole texts are encoded; rows are independent. Columns of the
-    input named like a result column are replaced.
+    with spaces there, so its ``round_trip`` is false. Whole texts are encoded; rows are independent, so repeated rows get
+    equal ids, and an empty table gives no rows. Columns of the input named like a result column are replaced. A very long text
+    is one row of one task: its ids are held, its lattice is a window.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(model_path))
     keep = [c for c in others(docs, ["ids", "n_ids", "round_trip"]) if c != text_col]
@@ -319,7 +317,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
                 flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_ids", "round_trip"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

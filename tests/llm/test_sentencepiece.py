@@ -33,20 +33,30 @@ def test_unigram_is_the_best_segmentation():
         assert abs(sum(codec.score.get(p, codec.worst) for p in got) - best_score(text, codec)) < 1e-9
 
 
-def test_stream_commits_early():
+def test_stream_commits_in_a_bounded_window():
     codec = P.Codec([(x, -float(i + 1), P.NORMAL) for i, x in enumerate(["a", "b", "ab", "ba"])], P.BPE)
-    fed = 0
+    assert "".join(codec.segment("ab" * 5000 + "b")) == "ab" * 5000 + "b"
+    assert codec.commits > 1000 and codec.widest <= 4 * codec.longest
+    # a unit goes on from what it shares with the one before, committed or in the window
+    units = sorted({"ab" * n + x for n in (1, 3, 40, 41, 300) for x in ("", "a", "b", "bb", "ba")})
+    assert ["".join(p) for p in codec.stream(units)] == units
+    assert list(codec.stream(units)) == [codec.segment(u) for u in units]
 
-    def endless():
-        nonlocal fed
-        while True:
-            fed += 1
-            yield "ab"[fed % 2]
 
-    out = codec.segment(endless())
-    for _ in range(1000):
-        next(out)
-    assert fed < 2100
+@needs_model
+def test_the_encoder_commits_at_meeting_points():
+    """What encodes the corpus is the stream: every unit ends in a commit, long ones hold more, and the window stays small."""
+    import sentencepiece
+
+    codec, library = P.Codec.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4000)), "some plain words and more of them", "=" * 3000 + "日本語" * 500]
+    assert codec.encode_many(texts) == [library.encode(t) for t in texts]
+    units = {u for t in texts for u in codec.unit.findall(P.SPACE + t.replace(" ", P.SPACE))}
+    assert codec.commits > len(units) + 20 and codec.widest <= 4 * codec.longest
+    before = codec.commits
+    assert codec.encode_many(texts[1:2]) == [library.encode(texts[1])] and codec.commits == before  # from the memo of the stream
+    assert codec.encode_many([texts[0], texts[0]]) == [library.encode(texts[0])] * 2
 
 
 @needs_model
@@ -59,9 +69,9 @@ def test_ids_equal_the_library_and_come_back(spark):
     texts += ["".join(rng.choice("aeinrst  hélo.0123\n") for _ in range(rng.randint(1, 200))) for _ in range(300)] + ["".join(rng.choice("abcdefghij") for _ in range(300)) for _ in range(20)]
     for t in texts:
         assert codec.encode(t) == library.encode(t)
-        assert codec._ids(codec.segment("▁" + t.replace(" ", "▁")) if t else []) == library.encode(t)
+        assert codec._ids(codec.segment("▁" + t.replace(" ", "▁")) if t else []) == library.encode(t)  # without units
         assert codec.decode(codec.encode(t)) == t
-    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, None, "a▁b"])], "doc_id long, text string, n_ids int")
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, None, "a▁b"])] + [(0, "", 1)], "doc_id long, text string, n_ids int")
     got = {r.doc_id: r for r in P.encode(frame, MODEL).collect()}
     assert all(list(got[i].ids) == library.encode(t) and got[i].round_trip for i, t in enumerate(texts))
     assert got[len(texts)].n_ids == 0 and got[len(texts)].round_trip is None and got[len(texts) + 1].round_trip is False
