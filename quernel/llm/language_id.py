@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,89 +11,107 @@ from pyspark.sql import functions as F
 
 from quernel.llm.base import others, text_udf
 
-#: Characters that one lane parses; texts are cut into segments so that numpy parses many lanes in step.
+#: Symbols of a segment. A text's segments are parsed in step with those of other texts and then joined, as if parsed in one go.
 SEGMENT = 512
-#: Lanes in one pass over the table: bounds memory whatever the batch.
+#: Segments times languages that are parsed in step: bounds memory whatever the batch.
 LANES = 16384
+#: An entry of the transition table that holds nothing.
+FREE = -1
+
+
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence of symbols; state 0 is the root."""
+    step, link, length = [{}], [-1], [0]
+    last = 0
+    for c in text.tolist():
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if length[p] + 1 != length[q]:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[new] = q
+        last = new
+    return step
 
 
-class CrossParser:
-    """Suffix automaton of one language's text as a table: state * symbols + symbol -> next state * 4 + phrases ended.
-
-    A parse is greedy: a phrase is the longest stretch of the rest that occurs in the language's text; a character
-    that does not occur at all is a phrase of its own. Where no transition exists the entry holds the state that
-    the character leads to from the root, so a step is one look-up.
-    """
-
-    def __init__(self, text: str, alphabet: dict[str, int]):
-        step, link, length = [{}], [-1], [0]
-        last = 0
-        for ch in text:
-            c = alphabet[ch]
-            new = len(step)
-            step.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = step[p][c]
-                if length[p] + 1 != length[q]:
-                    twin = len(step)
-                    step.append(dict(step[q]))
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = twin
-                        p = link[p]
-                    link[q] = twin
-                    q = twin
-                link[new] = q
-            last = new
-        # symbol 0: any character outside the alphabet; the last symbol: no character (lanes that have ended)
-        self.symbols = len(alphabet) + 2
-        root = np.zeros(self.symbols, np.int32)
-        for c, to in step[0].items():
-            root[c] = to
-        table = np.empty((len(step), self.symbols), np.int32)
-        table[:] = root * 4 + 1 + (root == 0)  # the phrase ends; an unknown character is one more
-        table[0] = root * 4 + (root == 0)
-        for s, to in enumerate(step):
-            for c, t in to.items():
-                table[s, c] = t * 4
-        table[:, -1] = np.arange(len(step)) * 4
-        self.table = table.ravel()
-        self.norm = np.log2(max(2, len(text)))
-
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane; ``codes`` has a row for each step and a column for each lane."""
-        state = np.zeros(codes.shape[1], np.int64)
-        count = np.zeros(codes.shape[1], np.int64)
-        table, symbols = self.table, self.symbols
-        for row in codes:
-            state *= symbols
-            state += row
-            got = table.take(state)
-            count += got & 3
-            np.right_shift(got, 2, out=state, casting="unsafe")
-        return count + (state != 0)
+class LanguageModel:
+    """Suffix automata of the languages' texts, with their transitions in one open hash table.
 
+    The table has two to four entries for each transition (some 50 bytes for each symbol learned from), whatever the number of
+    letters. States are numbered through all languages; ``roots`` has each language's first.
 
-class LanguageModel:
-    """Cross-parsers by language over one alphabet."""
+    A parse is greedy: a phrase is the longest stretch of the rest that occurs in the language's text; a symbol that does not occur
+    at all is a phrase of its own.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        letters = sorted(set("".join(samples.values())))
-        alphabet = {c: i + 1 for i, c in enumerate(letters)}
-        self.end = len(alphabet) + 1
-        self.space = alphabet[" "]
-        self.codes = np.fromiter((0 if chr(c).isalpha() else self.space for c in range(0x110000)), np.int16, 0x110000)
-        for c, i in alphabet.items():
-            self.codes[ord(c)] = i
-        self.parsers = [CrossParser(samples[x], alphabet) for x in self.languages]
+        letters = sorted(set("".join(samples.values())) - {" "})
+        self.space, self.symbols = 1, len(letters) + 2  # symbol 0: a letter that no language's text has
+        self.codes = np.fromiter((0 if chr(c).isalpha() else self.space for c in range(0x110000)), np.int32, 0x110000)
+        for i, c in enumerate(letters):
+            self.codes[ord(c)] = i + 2
+        roots, keys, values, n = [], [], [], 0
+        for name in self.languages:
+            step = automaton(self.codes[np.frombuffer(samples[name].encode("utf-32-le", "surrogatepass"), np.uint32)])
+            roots.append(n)
+            keys += [(n + s) * self.symbols + c for s, to in enumerate(step) for c in to]
+            values += [n + t for to in step for t in to.values()]
+            n += len(step)
+        self.roots = np.array(roots, np.int64)
+        self.norms = np.log2([max(2, len(samples[x])) for x in self.languages])
+        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
+        start = np.repeat(self.roots, self.symbols), np.tile(np.arange(self.symbols), len(roots))
+        to, there = self._look(*start)
+        self.first = np.where(there, to, start[0]).reshape(len(roots), self.symbols)  # where a symbol leads from the root
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, FREE, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] == FREE
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot the last stays
+            mine = self.keys[slot] == keys[left]
+            self.values[slot[mine]] = values[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _look(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether there is one)."""
+        keys = states * self.symbols + symbols
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        more = np.flatnonzero((found != keys) & (found != FREE))
+        while len(more):
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
+            found[more] = self.keys[slot[more]]
+            more = more[(found[more] != keys[more]) & (found[more] != FREE)]
+        return self.values[slot].astype(np.int64), found == keys
+
+    def _advance(self, states: np.ndarray, symbols: np.ndarray, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, phrases that end): where no transition exists a phrase ends, and the symbol begins one or is one."""
+        to, there = self._look(states, symbols)
+        first, root = self.first[languages, symbols], self.roots[languages]
+        ended = ~there & (states != root)
+        return np.where(there, to, first), ended.astype(np.int8) + (~there & (first == root))
 
     def fold(self, text: str) -> np.ndarray:
         """Symbols of a text: letters lower-cased, each other run one space, one space at either end. Empty: no letter."""
@@ -103,45 +123,101 @@ class LanguageModel:
         codes = codes[keep]
         return codes if len(codes) > 1 else codes[:0]
 
+    def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each folded text (rows) in each language (columns), the text parsed whole."""
+        n = len(self.roots)
+        total, state = np.zeros((len(coded), n), np.int64), np.tile(self.roots, (len(coded), 1))
+        room, segments = max(1, LANES // n), []
+        for k, c in enumerate(coded):
+            for at in range(0, len(c), SEGMENT):
+                segments.append((k, c[at : at + SEGMENT]))
+                if len(segments) == room:
+                    self._join(segments, total, state)
+                    segments = []
+        self._join(segments, total, state)
+        return total + (state != self.roots)
+
+    def _join(self, segments: list[tuple[int, np.ndarray]], total: np.ndarray, state: np.ndarray) -> None:
+        """Parses segments, in order within each text, on from ``state``; adds their phrases to ``total``.
+
+        First all segments are parsed in step, each from the root. Then, a text's segments one after the other, the true state is
+        carried into the segment until it meets that of the first parse; from there on the two are one.
+        """
+        if not segments:
+            return
+        n = len(self.roots)
+        order = sorted(range(len(segments)), key=lambda i: -len(segments[i][1]))
+        sizes = np.array([len(segments[i][1]) for i in order])
+        lane = {i: x for x, i in enumerate(order)}
+        grid = np.zeros((sizes[0], len(order)), np.int32)
+        for i, x in lane.items():
+            grid[: sizes[x], x] = segments[i][1]
+        states, ended = np.zeros((sizes[0], len(order), n), np.int32), np.zeros((sizes[0], len(order), n), np.int8)
+        now, languages = np.tile(self.roots, (len(order), 1)), np.tile(np.arange(n), len(order))
+        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")  # lanes as long as that or longer
+        for at in range(sizes[0]):
+            m = alive[at]
+            to, phrases = self._advance(now[:m].ravel(), np.repeat(grid[at, :m], n), languages[: m * n])
+            now[:m] = to.reshape(m, n)
+            states[at, :m], ended[at, :m] = now[:m], phrases.reshape(m, n)
+        counts = ended.sum(0, dtype=np.int64)
+
+        rounds: dict[int, list[tuple[int, int]]] = {}
+        seen: dict[int, int] = {}
+        for i, (k, _) in enumerate(segments):
+            rounds.setdefault(seen.get(k, 0), []).append((k, lane[i]))
+            seen[k] = seen.get(k, 0) + 1
+        for pairs in (rounds[r] for r in sorted(rounds)):
+            texts, lanes = (np.repeat(np.array(x), n) for x in zip(*pairs, strict=True))
+            which = np.tile(np.arange(n), len(pairs))
+            carried = state[texts, which]
+            gain = counts[lanes, which]
+            state[texts, which] = now[lanes, which]
+            left = np.flatnonzero(carried != self.roots[which])
+            carried = carried[left]
+            for at in range(sizes[0]):
+                over = at >= sizes[lanes[left]]
+                if over.any():
+                    state[texts[left[over]], which[left[over]]] = carried[over]
+                    left, carried = left[~over], carried[~over]
+                if not len(left):
+                    break
+                carried, phrases = self._advance(carried, grid[at, lanes[left]], which[left])
+                gain[left] += phrases.astype(np.int64) - ended[at, lanes[left], which[left]]
+                apart = carried != states[at, lanes[left], which[left]]
+                left, carried = left[apart], carried[apart]
+            state[texts[left], which[left]] = carried
+            total[texts, which] += gain
+
     def rates(self, coded: list[np.ndarray]) -> np.ndarray:
         """Normalised phrases for each folded text and language: phrases * log2(size of the language's text) / symbols."""
-        lanes = [(k, c[at : at + SEGMENT]) for k, c in enumerate(coded) for at in range(0, len(c), SEGMENT)]
-        lanes.sort(key=lambda x: len(x[1]))
-        total = np.zeros((len(coded), len(self.parsers)), np.int64)
-        for at in range(0, len(lanes), LANES):
-            part = lanes[at : at + LANES]
-            grid = np.full((len(part), len(part[-1][1])), self.end, np.int16)
-            for i, (_, c) in enumerate(part):
-                grid[i, : len(c)] = c
-            grid = np.ascontiguousarray(grid.T)
-            owner = np.array([k for k, _ in part])
-            for j, parser in enumerate(self.parsers):
-                np.add.at(total[:, j], owner, parser.phrases(grid))
         sizes = np.array([max(1, len(c)) for c in coded])
-        return total * np.array([p.norm for p in self.parsers]) / sizes[:, None]
+        return self.phrases(coded) * self.norms / sizes[:, None]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_chars: int = 1200, language_chars: int = 24_000) -> LanguageModel | None:
-    """Fit a model on a bounded sample of rows with a label and a text.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 48, longest: int = 20_000, most_languages: int = 64) -> LanguageModel | None:
+    """Fit a model on a bounded sample of rows with a label and a text; the texts of these rows are learned whole.
 
-    A first pass counts the labelled rows by language; a second takes about ``sample_docs`` rows of each by id
-    hash and ``sample_chars`` characters from the middle of each text, ``language_chars`` in all. Languages with fewer rows
-    give what they have. None if no labelled text has a letter.
+    A first pass counts the labelled rows of at most ``longest`` characters by language; a second takes about ``sample_docs``
+    of them for each language by a hash of id and text. So at most some ``sample_docs * longest`` characters of each of the
+    ``most_languages`` most frequent languages are held. Languages with fewer rows give what they have. Null ids are rows like others.
+    None if no labelled text has a letter.
     """
-    spark = docs.sparkSession
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
+    known = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= longest))
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(most_languages).collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col).cast("string")), F.lit(1_000_000))
+    mark = F.xxhash64(F.lit("language sample"), F.col(id_col).cast("string"), F.col(text_col))
     share = F.element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1_000_000, -(-1_000_000 * sample_docs // n)))))), F.col(lang_col))
-    start = F.greatest(F.lit(1), ((F.char_length(text_col) - sample_chars) / 2).cast("int"))
-    rows = known.where(draw < share).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.substring(F.col(text_col), start, F.lit(sample_chars)).alias("t")).collect()
+    rows = known.where(F.pmod(mark, F.lit(1_000_000)) < share).select(F.col(lang_col).alias("lang"), mark.alias("h"), F.col(text_col).alias("t")).distinct().collect()
     samples: dict[str, str] = {}
+    taken = Counter()
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.t)):
-        folded = " ".join("".join(c if c.isalpha() else " " for c in r.t.lower()).split())
-        samples[r.lang] = samples.get(r.lang, " ") + folded + " "
-    samples = {k: v[:language_chars] for k, v in samples.items() if any(c.isalpha() for c in v)}
+        taken[r.lang] += 1
+        if taken[r.lang] <= 2 * sample_docs:  # the draw is about that many; never many more
+            folded = " ".join("".join(c if c.isalpha() else " " for c in r.t.lower()).split())
+            samples[r.lang] = samples.get(r.lang, " ") + folded + " "
+    samples = {k: v for k, v in samples.items() if any(c.isalpha() for c in v)}
     return LanguageModel(samples) if samples else None
 
 
@@ -164,11 +240,12 @@ def _predict(model):
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``phrase_rate``.
 
-    A text is folded (letters lower-cased, other runs one space) and parsed whole against each language, in segments
-    of ``SEGMENT`` characters that are parsed apart. The language with the lowest normalised phrase count wins;
-    ties go to the first in name order. ``score`` is its share among the languages' weights 2**-rate, 0 to 1;
-    ``phrase_rate`` is its normalised phrases a character. Texts that are null or have no letter are ``und`` with
-    score 0 and rate null, as are all texts without a model.
+    A text is folded (letters lower-cased, other runs one space) and parsed whole against each language. The language with the
+    lowest normalised phrase count wins; ties go to the first in name order. ``score`` is its share among the languages'
+    weights 2**-rate, 0 to 1; ``phrase_rate`` is its normalised phrases a character. Texts that are null or have no letter
+    are ``und`` with score 0 and rate null, as are all texts without a model. Rows are independent: repeated rows get one
+    answer, an empty table none. Columns named like a result column are replaced, others pass through. A very long text is
+    parsed whole by one task, its symbols in memory.
     """
     taken = others(docs, ["lang_pred", "score", "phrase_rate"])
     found = docs.select(*taken).withColumn("_found", _predict(docs.sparkSession.sparkContext.broadcast(model))(F.col(text_col)))
