@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quernel.llm import chat_format as C
 from quernel.llm import decontaminate as D
-from quernel.llm import language_id as L
 from quernel.llm import line_dedup as LD
 from quernel.llm import secrets as S
 from quernel.llm import sharding as SH
@@ -62,39 +61,29 @@ def test_contamination_of_tables(table):
     assert {r.leak.n_hit for r in D.contamination(d, table([], "item_id string, text string")).collect()} == {0}
 
 
-# -- language ID ------------------------------------------------------------------------------------------------------
-def plain_phrases(text, reference):
-    n = i = 0
-    while i < len(text):
-        k = 1
-        while i + k < len(text) and text[i : i + k + 1] in reference:
-            k += 1
-        i, n = i + k, n + 1
-    return n
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text("abc ", min_size=1, max_size=40), st.lists(st.text("abcd ", min_size=1, max_size=30), min_size=1, max_size=6))
-def test_cross_parse_equals_greedy_search(reference, texts):
-    p = L.CrossParser(reference, {c: i + 1 for i, c in enumerate(sorted(set(reference)))})
-    code = {c: i + 1 for i, c in enumerate(sorted(set(reference)))}
-    grid = np.full((max(map(len, texts)), len(texts)), len(code) + 1)
-    for j, t in enumerate(texts):
-        grid[: len(t), j] = [code.get(c, 0) for c in t]
-    assert p.phrases(grid).tolist() == [plain_phrases(t, reference) for t in texts]
-
-
-def test_language_of_tables(table):
-    en, de = "the king of the north and the queen of the south were there ", "der hund und die katze sind nicht in dem haus gewesen "
-    rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(20)] + [(50, None, "en"), (51, "", None), (52, "123 !!", "de"), (53, en * 400, None), (54, "THE NORTH", None)]
-    docs = table(rows, "doc_id long, text string, lang string", ["score", "_found"])
-    model = L.learn(docs)
-    got = {r.doc_id: r for r in L.predict(docs, model).collect()}
-    assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(20))
-    assert [got[i].lang_pred for i in (50, 51, 52, 53, 54)] == ["und", "und", "und", "en", "en"]
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[50].score == 0
-    nothing = L.learn(docs.where("false"))
-    assert nothing is None and {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"}
+@pytest.mark.parametrize("line, value", [
+    ("DB_PWD=hunter2longvalue99", "hunter2longvalue99"), ("pwd: hunter2abcdEFG99", "hunter2abcdEFG99"), ("AWS_SESSION_KEY=AbCdEf1234567890xyz", "AbCdEf1234567890xyz"), ("auth = Zx9qW7rT2abc", "Zx9qW7rT2abc"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz"),
+])
+def test_configuration_values(line, value):
+    for text in (line, f"# settings\n{line}\nother = 1\n", f"[section]\n  {line}"):
+        assert any(text[a:b].endswith(value) for _, a, b in S.all_spans(text)[1])
+
+
+def test_long_and_repetitive_texts_take_time_in_proportion():
+    import time
+
+    chain = 'pwd0 = "s3cretPart9x"\n' + "".join(f"pwd{i} = pwd{i - 1} + pwd{i - 1}\n" for i in range(1, 20_000))
+    hard = {
+        "chain": chain, "quotes": 'token = "' + '\\"' * 300_000, "calls": "key=" * 200_000 + "(", "known": 'key="aaaaBBBB1111"\n' + "key=" * 200_000, "many": "api_key = 'abcd1234EFGH'\n" * 20_000,
+        "types": "pwd: A[" * 100_000, "blanks": "pwd " + " " * 500_000 + "x", "name": "a" * 500_000 + "pwd = 'abcd1234EFGH'", "dots": "a." * 200_000, "one": "'" * 300_000 + '"' * 300_000 + "pwd",
+    }
+    for name, text in hard.items():
+        begin = time.process_time()
+        S.all_spans(text)
+        assert time.process_time() - begin < 20, name
+    assert [chain[a:b] for _, a, b in S.literal_spans(chain)] == ["s3cretPart9x"]
+    assert len(S.all_spans(hard["many"])[1]) == 20_000
 
 
 # -- line dedup ---------------------------------------------------------------------------------------------------------
