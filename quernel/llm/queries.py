@@ -49,14 +49,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)
 
 
-def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
-    """Every document as piece ids; ``round_trip``: decoding them gives the text back."""
-    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document as piece ids; ``round_trip``: decoding them gives the text back. The session's ``quernel.pieces`` can name the vocabulary."""
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model or spark.conf.get("quernel.pieces", PIECE_MODEL))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-parsing language of every document; a fifth of the ids is held out from learning."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)))
     model = language_id.learn(docs.where("not held_out"))
     return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
 
@@ -135,9 +135,42 @@ FROM k LEFT JOIN f ON key = fkey GROUP BY doc_id
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), r(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a
+), n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a
+"""
+
+#: The control strings and marks of ``chat_format.Template``, longest first, and the backslash.
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), m AS (
+  SELECT *, '\|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>' AS marks FROM t
+), s AS (
+  SELECT *, length('[INST] ') + length(role) + len(regexp_extract_all(role, marks)) + length(' [/INST]') + length(text) + len(regexp_extract_all(text, marks)) + length('</s>') AS chars FROM m
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM s GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
     return {"op1_embedding_dedup": op1_embedding_dedup, "op2_lm_scoring": op2_lm_scoring, "op3_decontamination": op3_decontamination, "op4_simhash": op4_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_language_id": op6_language_id, "op7_secrets": op7_secrets, "op8_line_dedup": op8_line_dedup, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
