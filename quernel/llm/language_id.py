@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quernel.llm.base import others, text_udf
 
 #: Symbols of a segment. A text's segments are parsed in step with those of other texts and then joined, as if parsed in one go.
-SEGMENT = 512
+SEGMENT = 2048
 #: Segments times languages that are parsed in step: bounds memory whatever the batch.
-LANES = 16384
-#: An entry of the transition table that holds nothing.
-FREE = -1
+LANES = 6144
+#: Bits of a state in the transition table; a key has as many.
+MOST_BITS = 31
+#: An entry of the transition table that holds nothing, and an odd number that spreads keys over the table.
+FREE, MIX = -1, np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 
 def automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -52,7 +54,7 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 class LanguageModel:
     """Suffix automata of the languages' texts, with their transitions in one open hash table.
 
-    The table has two to four entries for each transition (some 50 bytes for each symbol learned from), whatever the number of
+    The table has two to four entries of 8 bytes for each transition (some 50 bytes for each symbol learned from), whatever the number of
     letters. States are numbered through all languages; ``roots`` has each language's first.
 
     A parse is greedy: a phrase is the longest stretch of the rest that occurs in the language's text; a symbol that does not occur
@@ -66,52 +68,59 @@ class LanguageModel:
         self.codes = np.fromiter((0 if chr(c).isalpha() else self.space for c in range(0x110000)), np.int32, 0x110000)
         for i, c in enumerate(letters):
             self.codes[ord(c)] = i + 2
-        roots, keys, values, n = [], [], [], 0
-        for name in self.languages:
-            step = automaton(self.codes[np.frombuffer(samples[name].encode("utf-32-le", "surrogatepass"), np.uint32)])
-            roots.append(n)
-            keys += [(n + s) * self.symbols + c for s, to in enumerate(step) for c in to]
-            values += [n + t for to in step for t in to.values()]
-            n += len(step)
-        self.roots = np.array(roots, np.int64)
+        steps = [automaton(self.codes[np.frombuffer(samples[x].encode("utf-32-le", "surrogatepass"), np.uint32)]) for x in self.languages]
         self.norms = np.log2([max(2, len(samples[x])) for x in self.languages])
-        self._fill(np.array(keys, np.int64), np.array(values, np.int32))
-        start = np.repeat(self.roots, self.symbols), np.tile(np.arange(self.symbols), len(roots))
-        to, there = self._look(*start)
-        self.first = np.where(there, to, start[0]).reshape(len(roots), self.symbols)  # where a symbol leads from the root
+        starts = np.cumsum([0, *map(len, steps)])
+        # a state stands as its number times the number of symbols, so that adding a symbol makes a key
+        self.roots = starts[:-1] * self.symbols
+        keys = [(n + s) * self.symbols + c for n, step in zip(starts.tolist(), steps, strict=False) for s, to in enumerate(step) for c in to]
+        values = [(n + t) * self.symbols for n, step in zip(starts.tolist(), steps, strict=False) for to in step for t in to.values()]
+        self.low = int(starts[-1] * self.symbols).bit_length()
+        if self.low > MOST_BITS:
+            raise ValueError("too many letters and states for one table: learn from fewer rows")
+        self._fill(np.array(keys, np.int64), np.array(values, np.int64))
+        root = np.repeat(self.roots, self.symbols)
+        to, missing = self._look(root + np.tile(np.arange(self.symbols), len(steps)))
+        to[missing] = root[missing]
+        self.first = to  # where a symbol leads from the root: to itself if no phrase begins with it
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys * MIX).view(np.uint64) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Entries hold a key and, in their last bits, a state."""
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, FREE, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.table = np.full(1 << self.bits, FREE, np.int64)
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
-            free = self.keys[slot] == FREE
-            self.keys[slot[free]] = keys[left[free]]  # of several for one slot the last stays
-            mine = self.keys[slot] == keys[left]
-            self.values[slot[mine]] = values[left[mine]]
+            free = self.table[slot] == FREE
+            self.table[slot[free]] = (keys[left[free]] << self.low) | values[left[free]]  # of several for one slot the last stays
+            mine = self.table[slot] >> self.low == keys[left]
             left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
 
-    def _look(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, whether there is one)."""
-        keys = states * self.symbols + symbols
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        more = np.flatnonzero((found != keys) & (found != FREE))
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, which keys have none). An entry less its key is the state; anything else is no smaller than 1 << low."""
+        slot, wanted, least = self._slot(keys), keys << self.low, np.uint64(1 << self.low)
+        to = self.table[slot]
+        to ^= wanted
+        missing = np.flatnonzero(to.view(np.uint64) >= least)
+        at = slot[missing]
+        go = self.table[at] != FREE
+        more, at = missing[go], at[go]
         while len(more):
-            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
-            found[more] = self.keys[slot[more]]
-            more = more[(found[more] != keys[more]) & (found[more] != FREE)]
-        return self.values[slot].astype(np.int64), found == keys
-
-    def _advance(self, states: np.ndarray, symbols: np.ndarray, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, phrases that end): where no transition exists a phrase ends, and the symbol begins one or is one."""
-        to, there = self._look(states, symbols)
-        first, root = self.first[languages, symbols], self.roots[languages]
-        ended = ~there & (states != root)
-        return np.where(there, to, first), ended.astype(np.int8) + (~there & (first == root))
+            at = (at + 1) & ((1 << self.bits) - 1)
+            got = self.table[at]
+            rest = got ^ wanted[more]
+            hit = rest.view(np.uint64) < least
+            to[more[hit]] = rest[hit]
+            go = ~hit & (got != FREE)
+            more, at = more[go], at[go]
+        return to, missing[to[missing].view(np.uint64) >= least]
+
+    def _miss(self, keys: np.ndarray, symbols: np.ndarray, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, phrases that end) of keys without a transition: a phrase ends, and the symbol begins one or is one."""
+        first, root = self.first[languages * self.symbols + symbols], self.roots[languages]
+        return first, (keys - symbols != root).view(np.int8) + (first == root)
 
     def fold(self, text: str) -> np.ndarray:
         """Symbols of a text: letters lower-cased, each other run one space, one space at either end. Empty: no letter."""
@@ -152,14 +161,21 @@ class LanguageModel:
         grid = np.zeros((sizes[0], len(order)), np.int32)
         for i, x in lane.items():
             grid[: sizes[x], x] = segments[i][1]
-        states, ended = np.zeros((sizes[0], len(order), n), np.int32), np.zeros((sizes[0], len(order), n), np.int8)
-        now, languages = np.tile(self.roots, (len(order), 1)), np.tile(np.arange(n), len(order))
+        states, ended = np.zeros((sizes[0], n, len(order)), np.int32), np.zeros((sizes[0], n, len(order)), np.int8)
+        end, now = np.zeros((n, len(order)), np.int64), np.repeat(self.roots[:, None], len(order), 1)
         alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")  # lanes as long as that or longer
-        for at in range(sizes[0]):
-            m = alive[at]
-            to, phrases = self._advance(now[:m].ravel(), np.repeat(grid[at, :m], n), languages[: m * n])
-            now[:m] = to.reshape(m, n)
-            states[at, :m], ended[at, :m] = now[:m], phrases.reshape(m, n)
+        for at, m in enumerate(alive.tolist()):
+            if m < now.shape[1]:
+                end[:, m : now.shape[1]] = now[:, m:]
+                now = now[:, :m]
+            keys = (now + grid[at, :m]).ravel()
+            to, missing = self._look(keys)
+            row = missing // m
+            column = missing - row * m
+            to[missing], ended[at, row, column] = self._miss(keys[missing], grid[at, column], row)
+            now = to.reshape(n, m)
+            states[at, :, :m] = now
+        end[:, : now.shape[1]] = now
         counts = ended.sum(0, dtype=np.int64)
 
         rounds: dict[int, list[tuple[int, int]]] = {}
@@ -170,9 +186,8 @@ class LanguageModel:
         for pairs in (rounds[r] for r in sorted(rounds)):
             texts, lanes = (np.repeat(np.array(x), n) for x in zip(*pairs, strict=True))
             which = np.tile(np.arange(n), len(pairs))
-            carried = state[texts, which]
-            gain = counts[lanes, which]
-            state[texts, which] = now[lanes, which]
+            carried, gain = state[texts, which], counts[which, lanes]
+            state[texts, which] = end[which, lanes]
             left = np.flatnonzero(carried != self.roots[which])
             carried = carried[left]
             for at in range(sizes[0]):
@@ -182,9 +197,13 @@ class LanguageModel:
                     left, carried = left[~over], carried[~over]
                 if not len(left):
                     break
-                carried, phrases = self._advance(carried, grid[at, lanes[left]], which[left])
-                gain[left] += phrases.astype(np.int64) - ended[at, lanes[left], which[left]]
-                apart = carried != states[at, lanes[left], which[left]]
+                own, symbols = lanes[left], grid[at, lanes[left]]
+                keys = carried + symbols
+                carried, missing = self._look(keys)
+                gain[left] -= ended[at, which[left], own]
+                carried[missing], phrases = self._miss(keys[missing], symbols[missing], which[left[missing]])
+                gain[left[missing]] += phrases
+                apart = carried != states[at, which[left], own]
                 left, carried = left[apart], carried[apart]
             state[texts[left], which[left]] = carried
             total[texts, which] += gain
@@ -195,30 +214,38 @@ class LanguageModel:
         return self.phrases(coded) * self.norms / sizes[:, None]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 48, longest: int = 20_000, most_languages: int = 64) -> LanguageModel | None:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 12, longest: int = 20_000, most_languages: int = 64) -> LanguageModel | None:
     """Fit a model on a bounded sample of rows with a label and a text; the texts of these rows are learned whole.
 
-    A first pass counts the labelled rows of at most ``longest`` characters by language; a second takes about ``sample_docs``
-    of them for each language by a hash of id and text. So at most some ``sample_docs * longest`` characters of each of the
-    ``most_languages`` most frequent languages are held. Languages with fewer rows give what they have. Null ids are rows like others.
+    A first pass counts the different labelled texts of at most ``longest`` characters by language; a second takes about
+    ``sample_docs`` of them for each language by a hash of the text, so copies count once. So at most some ``sample_docs * longest`` characters of each of the
+    ``most_languages`` most frequent languages are held, and fewer rows of each where letters and symbols together would need a table of
+    more than 2**31 entries if it were dense. Languages with fewer rows give what they have.
     None if no labelled text has a letter.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= longest))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(most_languages).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.approx_count_distinct(text_col, 0.02).alias("n")).orderBy(F.desc("n"), lang_col).limit(most_languages).collect()}
     if not counts:
         return None
-    mark = F.xxhash64(F.lit("language sample"), F.col(id_col).cast("string"), F.col(text_col))
+    mark = F.xxhash64(F.lit("language sample"), F.col(text_col))
     share = F.element_at(F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1_000_000, -(-1_000_000 * sample_docs // n)))))), F.col(lang_col))
     rows = known.where(F.pmod(mark, F.lit(1_000_000)) < share).select(F.col(lang_col).alias("lang"), mark.alias("h"), F.col(text_col).alias("t")).distinct().collect()
-    samples: dict[str, str] = {}
-    taken = Counter()
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.t)):
-        taken[r.lang] += 1
-        if taken[r.lang] <= 2 * sample_docs:  # the draw is about that many; never many more
-            folded = " ".join("".join(c if c.isalpha() else " " for c in r.t.lower()).split())
-            samples[r.lang] = samples.get(r.lang, " ") + folded + " "
-    samples = {k: v for k, v in samples.items() if any(c.isalpha() for c in v)}
-    return LanguageModel(samples) if samples else None
+    rows.sort(key=lambda r: (r.lang, r.h, r.t))
+    most = 2 * sample_docs  # the draw is about half of that; never more
+    while True:
+        samples: dict[str, str] = {}
+        taken = Counter()
+        for r in rows:
+            taken[r.lang] += 1
+            if taken[r.lang] <= most:
+                folded = " ".join("".join(c if c.isalpha() else " " for c in r.t.lower()).split())
+                samples[r.lang] = samples.get(r.lang, " ") + folded + " "
+        samples = {k: v for k, v in samples.items() if any(c.isalpha() for c in v)}
+        if not samples:
+            return None
+        if most == 1 or 2 * sum(map(len, samples.values())) * (len(set("".join(samples.values()))) + 2) < 1 << MOST_BITS:
+            return LanguageModel(samples)
+        most = max(1, most // 2)
 
 
 def _predict(model):
