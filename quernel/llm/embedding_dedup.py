@@ -14,7 +14,9 @@ from quernel.llm.base import checkpoint, components
 from quernel.llm.simhash import forest
 
 #: Rows of one side of a comparison block; a cell is made for about so many vectors.
-CHUNK = 2048
+CHUNK = 8192
+#: Rows of a block that are compared at a time.
+STRIP = 512
 #: Most pivots of one vector length. They are broadcast: 4096 * 64 doubles are 2 MB.
 MOST_PIVOTS = 4096
 #: Slack for rounding in bounds: a distance near zero is a root of a difference that errs by about 1e-15.
@@ -106,16 +108,17 @@ def _compare(least: float):
     def links(rep, w, x, side):
         x = unit(x)
         low = x.astype(np.float32)
-        if side.any():
-            a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-            if not len(a) or not len(b):
-                return None
-            near = low[a] @ low[b].T >= least - 1e-4  # single precision errs by far less than that
-        else:
-            a = b = np.arange(len(rep))
-            near = np.triu(low @ low.T >= least - 1e-4, 1)
-        i, j = np.nonzero(near)
-        i, j = a[i], b[j]
+        inner = not side.any()
+        a, b = (np.arange(len(rep)),) * 2 if inner else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+        found = []
+        for s in range(0, len(a), STRIP):
+            # single precision errs by far less than that; within one chunk a pair is met once
+            i, j = np.nonzero(low[a[s : s + STRIP]] @ low[b[s:] if inner else b].T >= least - 1e-4)
+            i, j = a[s + i], b[s + j] if inner else b[j]
+            found.append((i[i < j], j[i < j]) if inner else (i, j))
+        if not found:
+            return None
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         keep = np.empty(len(i), bool)
         for s in range(0, len(i), 100_000):
             keep[s : s + 100_000] = np.einsum("ij,ij->i", x[i[s : s + 100_000]], x[j[s : s + 100_000]]) >= least
@@ -166,6 +169,7 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     zero or hold null or non-finite components link with nothing, nor do vectors of different widths. Rows of equal
     vectors are one class in the join and count as links of each other; repeated rows are vectors of their own. A
     row with a null id takes part, but names no component; ids must be integers below 2**62. An empty table gives no rows.
+    Ties need no rule, for the smallest id names a component. Other columns are not passed on, so none can clash.
 
     Cosine ``c`` is the distance sqrt(2 - 2c) between unit vectors. Pivots cut space into cells of nearest pivot;
     vectors near a border are replicated as the triangle inequality demands, and each cell joins by itself, in blocks of
