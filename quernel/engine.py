@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import dataclasses
 import datetime as dt
+import itertools
 import json
 import os
 import tempfile
@@ -22,7 +23,7 @@ from quernel.operators import constraints, lifetime, vector_search
 from quernel.operators import write as W
 from quernel.operators.write import Status, Written
 from quernel.plans.condition import Condition
-from quernel.plans.evolve import SchemaBuilder, apply_changes, diff
+from quernel.plans.evolve import SchemaBuilder, apply_changes, broken, diff
 from quernel.plans.query import QueryBuilder, StreamQueryBuilder
 from quernel.schema import Field, FieldType, SchemaError, Table, creation_order
 from quernel.sources.snapshots import Folder, Store
@@ -239,6 +240,7 @@ class Database:
     def create_tables(self, schemas: list[Table]) -> Result:
         """Parents first; a table that exists already fails the call."""
         made: dict[tuple[str, str], DataFrame] = {}
+        schemas = [s.with_ingest_time() for s in schemas]
         for s in creation_order(schemas):
             where = self._where(s.name, s)
             if where in self.schemas:
@@ -252,6 +254,7 @@ class Database:
     def declare(self, schemas: list[Table]) -> list[str]:
         """Creates tables that are missing and migrates those whose stored schema differs. Returns what was done."""
         done = []
+        schemas = [s.with_ingest_time() for s in schemas]
         missing = [s for s in schemas if self._where(s.name, s) not in self.schemas]
         if missing:
             self.create_tables(missing)
@@ -265,10 +268,16 @@ class Database:
         return done
 
     def _migrate(self, table: str, ops: list[tuple]) -> str:
+        """One commit of schema and rows. Rows that break what is new, or values that cannot be converted, raise and leave all as it was."""
         where = self._where(table)
-        schema, frame = apply_changes(self.schemas[where], self.frames[where], ops)
         task = uuid.uuid4().hex
-        self.migrations[task] = {"id": task, "table": table, "operations": len(ops), "state": "done"}
+        self.migrations[task] = state = {"id": task, "table": table, "operations": len(ops), "state": "failed"}
+        schema, frame = apply_changes(self.schemas[where], self.frames[where], ops)
+        constraints.check_references(self._all() | {schema.name: schema}, schema)
+        why = broken(schema, frame, ops, {k.table: self.frame(k.table) for k in schema.foreign_keys if k.table not in (table, schema.name) and self.table_exists(k.table)})
+        if why:
+            raise SchemaError(f"{table}: {why}")
+        state["state"] = "done"
         if schema.name != table:
             for k in ("schemas", "frames", "versions"):
                 getattr(self, k).pop(where, None)
@@ -349,13 +358,15 @@ class Database:
         return StreamQueryBuilder(self, table)
 
     def query_each_batch(self, query: QueryBuilder, each: Callable[[list], Any], size: int = 1000) -> int:
-        """Keyset pages of ``size`` rows to ``each``, until it returns False. Returns the rows seen."""
-        seen, page = 0, query.clone().limit(size).page()
-        while page and page.rows:
-            seen += len(page.rows)
-            if each(page.rows) is False:
+        """Rows in the query's order to ``each``, ``size`` at a time, until it returns False. Returns the rows seen.
+
+        The query runs and sorts once; its partitions then come to the driver one after the other.
+        """
+        seen, rows = 0, query.clone().ordered().iter()
+        while part := list(itertools.islice(rows, size)):
+            seen += len(part)
+            if each(part) is False:
                 break
-            page = page.next()
         return seen
 
     def vector_search(self, table: str, name: str, query: list[float], top_k: int = 10, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
@@ -410,7 +421,8 @@ class Database:
         report = _checkpoint(written.report)
         status = Written(written.frame, report, written.applied).status()
         if status >= 0:
-            self._set({table: written.frame}, {"op": op, "table": table, "report": report})
+            event = {"op": op, "table": table, "report": report, "before": self.frame(table)}
+            self._set({table: written.frame}, event)
         return Result(status, "" if status >= 0 else str(report.where("error is not null").select("error").limit(1).collect()[0][0]), report)
 
     def insert(self, table: str, row: dict) -> Result:
@@ -446,16 +458,17 @@ class Database:
             done = constraints.cascade_update({t: self.frame(t) for t in schemas}, schemas, table, changes)
         except constraints.ConstraintError as e:
             return Result(Status.foreignKeyViolation, str(e))
-        self._set({t: f for t, f in done.frames.items() if f is not self.frame(t)}, {"op": "update", "table": table})
+        changed = {t: f for t, f in done.frames.items() if f is not self.frame(t)}
+        self._set(changed, {"op": "update", "table": table, "tables": list(changed)})
         return Result(Status.success)
 
     def cleanup_ttl(self, table: str, at: dt.datetime | None = None) -> Result:
-        """Deletes rows whose lifetime is over."""
-        ttl = self.schema(table).ttl
-        if not ttl or not ttl.field:
+        """Deletes rows whose lifetime, from its field or from when they were written, is over."""
+        source = self.schema(table).ttl_source
+        if not source:
             return Result(Status.success)
         frame = self.frame(table)
-        over = lifetime.expired(ttl.field, ttl.ms, at)
+        over = lifetime.expired(source, self.schema(table).ttl.ms, at)
         report = frame.where(over).select(F.col(self.schema(table).key.name).alias("key"), F.lit("delete").alias("action"), F.lit(None).cast("string").alias("error"))
         return self._written(table, Written(frame.where(~over), report), "delete")
 
@@ -649,15 +662,22 @@ class DeleteBuilder(_WriteBuilder):
         except constraints.ConstraintError as e:
             return Result(Status.foreignKeyViolation, str(e))
         report = _checkpoint(written.report)
-        db._set({t: f for t, f in done.frames.items() if f is not db.frame(t)}, {"op": "delete", "table": self.table, "report": report})
+        changed = {t: f for t, f in done.frames.items() if f is not db.frame(t)}
+        db._set(changed, {"op": "delete", "table": self.table, "tables": list(changed), "report": report, "before": db.frame(self.table)})
         return Result(Status.success, "", report)
 
 
 def _checkpoint(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage of a snapshot; the folder is the cluster's ``spark.checkpoint.dir`` where that is set."""
+    """Cuts the lineage of a snapshot, in the folder ``spark.checkpoint.dir`` that the driver and all executors share.
+
+    Where it is unset, a local session gets one of its own; on a cluster that is an error, for executors would not find it.
+    """
     spark = frame.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"quernel-{os.getpid()}"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"quernel-{os.getpid()}"))
     return frame.checkpoint(eager=True)
 
 

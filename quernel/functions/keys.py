@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Digits of base 62, and the room for a sequence number behind a time.
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -43,25 +44,21 @@ def date_key(ts: Column, sequence: Column, node: int | None = None, node_digits:
     return timestamp_key(F.date_format(ts, "yyyyMMddHHmmss").cast("decimal(20,0)"), sequence, node, node_digits)
 
 
-def sequential(frame: DataFrame, order: list[str], name: str = "id", start: int = 1, step: int = 1, parts: int | None = None) -> DataFrame:
+def sequential(frame: DataFrame, order: list[str], name: str = "id", start: int = 1, step: int = 1, parts: int | None = None, persist=None) -> DataFrame:
     """``frame`` with gapless keys ``start``, ``start + step``, ... in the order of unique columns ``order``.
 
-    No single task numbers all rows: quantiles of the first order column cut it into ranges, ranges are counted, and a row's key
-    is its rank within its range plus the rows before. A first column that is not numeric is one range.
+    No single task numbers all rows: they are dealt in ranges of all order columns, so that a hot first one is split by the next, and
+    sorted within them; ranges are counted, and a row's key is its place in its range plus the rows before. ``persist`` writes the
+    sorted rows down, so that both passes see the same ranges (a checkpoint by default).
     """
-    kind = frame.schema[order[0]].dataType.typeName()
     parts = parts or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts: list[float] = []
-    if parts > 1 and kind in ("integer", "long", "double", "float", "short", "byte"):
-        cuts = sorted(set(frame.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.01)))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.coalesce((F.col(order[0]) > F.lit(c)).cast("int"), F.lit(0))
-    dealt = frame.withColumn("_bucket", bucket)
-    counts = sorted((r._bucket, r.n) for r in dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a range
-    ahead, total = F.lit(0), 0
-    for b, n in counts:
-        ahead = F.when(F.col("_bucket") == b, F.lit(total)).otherwise(ahead)
-        total += n
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1 + ahead
-    return dealt.withColumn(name, (rank * step + start).cast("long")).drop("_bucket")
+    by = [F.col(c) for c in order]
+    if persist is None:
+        from quernel.engine import _checkpoint as persist
+    # the id of a row holds its partition and its place in that
+    dealt = persist(frame.repartitionByRange(parts, *by).sortWithinPartitions(*by)).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r[0]: r[1] for r in dealt.groupBy(part.alias("p")).count().collect()}  # a row a range
+    ahead = list(itertools.accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=0))
+    number = place + F.get(F.array(*(F.lit(n).cast("long") for n in ahead)), part.cast("int"))
+    return dealt.withColumn(name, (number * step + start).cast("long")).drop("_at")

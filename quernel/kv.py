@@ -119,7 +119,7 @@ class KeyValues:
         return self.frame(is_global).count()
 
     def watch_values(self, keys: Iterable[str], is_global: bool = False, distinct: bool = True, timeout: float | None = None) -> Iterator[dict[str, Any]]:
-        """The keys' values now and after each change of one of them; ``timeout`` ends the wait for a change, in seconds."""
+        """The keys' values now, after each change of one of them, and when one expires; ``timeout`` ends the wait for that, in seconds."""
         keys, name, changes = list(keys), self._name(is_global), queue.SimpleQueue()
 
         def listen(event: dict) -> None:
@@ -135,13 +135,21 @@ class KeyValues:
                 if not distinct or values != last:
                     yield values
                 last = values
+                left = self._until_expiry(keys, is_global)
                 try:
-                    changes.get(timeout=timeout)
+                    changes.get(timeout=min((x for x in (timeout, left) if x is not None), default=None))
                 except queue.Empty:
-                    return
+                    if left is None or timeout is not None and timeout < left:
+                        return
         finally:
             self.db.listeners.remove(listen)
 
+    def _until_expiry(self, keys: list[str], is_global: bool) -> float | None:
+        """Seconds until the first of the keys' live entries expires."""
+        now = self._now()
+        first = lifetime.live_pairs(self.frame(is_global), now).where(F.col("key").isin(*keys)).agg(F.min("expires_at")).first()[0]
+        return None if first is None else max((first - now).total_seconds(), 0) + 0.01
+
     def watch(self, key: str, default: Any = None, **options) -> Iterator[Any]:
         for values in self.watch_values([key], **options):
             yield default if values[key] is None else values[key]

@@ -22,8 +22,8 @@ def _set(names: tuple[str, ...]) -> Column:
 
 
 def duplicates(frame: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Values of ``key`` that more than one row has, with their number ``n``; keys with a null are never equal."""
-    return frame.where(_set(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Values of ``key`` that more than one row has, with their number ``n`` (``n_rows`` if a field has that name); keys with a null are never equal."""
+    return frame.where(_set(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").withColumnRenamed("_rows", "n_rows" if "n" in key else "n")
 
 
 def taken(rows: DataFrame, existing: DataFrame, key: tuple[str, ...]) -> DataFrame:

@@ -218,8 +218,8 @@ def violations(frame: DataFrame, schema: Table, touched: set[str], parents: dict
     for label, fields in schema.unique_keys().items():
         if touched & set(fields):
             mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select(*fields).distinct()
-            held = frame.join(mine, list(fields), "left_semi").groupBy(*fields).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_changed")).alias("old"), F.min(F.when(F.col("_changed"), F.col("_id"))).alias("one"))
-            clash = changed.select("_id", *fields).join(held.where("n > 1"), list(fields)).where((F.col("old") > 0) | (F.col("_id") != F.col("one")))
+            held = frame.join(mine, list(fields), "left_semi").groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("_changed")).alias("_before"), F.min(F.when(F.col("_changed"), F.col("_id"))).alias("_one"))
+            clash = changed.select("_id", *fields).join(held.where("_rows > 1"), list(fields)).where((F.col("_before") > 0) | (F.col("_id") != F.col("_one")))
             parts.append(clash.select("_id", F.lit(f"{label}: taken").alias("_why")))
     for fk in schema.foreign_keys:
         if fk.enabled and touched & set(fk.fields) and parents and fk.table in parents:

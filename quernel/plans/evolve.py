@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import difflib
 from collections.abc import Callable
 from typing import Any
 
@@ -10,19 +11,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.values import convert_column, literal
-from quernel.schema import Field, FieldType, ForeignKey, Index, PrimaryKey, SchemaError, Table, Ttl
+from quernel.operators.constraints import duplicates, orphans
+from quernel.operators.write import rules
+from quernel.schema import INGESTED, Field, FieldType, ForeignKey, Index, PrimaryKey, SchemaError, Table, Ttl
+
+
+#: How much of two names must agree for a rename that no id tells, as difflib counts it.
+ALIKE = 0.6
+
+
+def _alike(a: Field, b: Field) -> bool:
+    same = dataclasses.replace(a, name=b.name, field_id=b.field_id, comment=b.comment) == b
+    return same and difflib.SequenceMatcher(None, a.name.lower(), b.name.lower()).ratio() >= ALIKE
 
 
 def diff(old: Table, new: Table) -> list[tuple]:
-    """Operations that turn ``old`` into ``new``. A field of another name but the same ``field_id`` (or old name) is a rename."""
+    """Operations that turn ``old`` into ``new``.
+
+    A field of another name but the same ``field_id`` (or old name) is a rename; so is one that has no id and takes the place of the
+    one field gone that is like it: of the same type and rules, with a name of which at least ``ALIKE`` agrees. Where two would do, none is.
+    """
     ops: list[tuple] = []
     if old.key != new.key:
         ops.append(("set_key", new.key.name, new.key))
     was = {f.name: f for f in old.fields}
     ids = {f.field_id or f.name: f.name for f in old.fields}
-    kept = set()
+    kept, gone = set(), [f for f in old.fields if f.name not in {x.name for x in new.fields} and f.field_id not in {x.field_id for x in new.fields if x.field_id}]
+    fresh = [f for f in new.fields if f.name not in was and not (f.field_id and f.field_id in ids)]
+    like = {f.name: [g.name for g in gone if not f.field_id and _alike(f, g)] for f in fresh}
+    taken = [n for found in like.values() for n in found]
     for f in new.fields:
         source = f.name if f.name in was else ids.get(f.field_id) if f.field_id else None
+        if source is None and len(like.get(f.name, ())) == 1 and taken.count(like[f.name][0]) == 1:
+            source = like[f.name][0]
         if source is None or source in kept:
             ops.append(("add_field", f.name, f))
             continue
@@ -40,6 +61,31 @@ def diff(old: Table, new: Table) -> list[tuple]:
     return ops
 
 
+def broken(schema: Table, frame: DataFrame, ops: list[tuple], parents: dict[str, DataFrame]) -> str | None:
+    """What the rows, as ``apply_changes`` left them, break of the fields, indexes and foreign keys that ``ops`` are about."""
+    names, keys, fks = set(), [], []
+    for op, name, x in ops:
+        if op in ("add_field", "modify_field"):
+            names.add(x.name)
+        elif op == "add_index" and x.unique:
+            keys.append((x.label(schema.name), x.fields))
+        elif op == "add_foreign_key" and x.enabled:
+            fks.append(x)
+    fields = [f for f in schema.fields if f.name in names]
+    keys += [(Index((f.name,), unique=True).label(schema.name), (f.name,)) for f in fields if f.unique]
+    why = [r for f in fields for r in rules(f.name, f, F.col(f.name))]
+    if why and (row := frame.select(F.coalesce(*why).alias("why")).where("why is not null").first()):
+        return row.why
+    for label, key in keys:
+        if not duplicates(frame, tuple(key)).isEmpty():
+            return f"{label}: rows share a value"
+    for fk in fks:
+        parent = frame if fk.table == schema.name else parents.get(fk.table)
+        if parent is None or not orphans(frame, parent, fk).isEmpty():
+            return f"{fk.label(schema.name)}: no parent"
+    return None
+
+
 def apply_changes(schema: Table, frame: DataFrame, ops: list[tuple]) -> tuple[Table, DataFrame]:
     """The schema and rows after the operations. Rows are projected, never collected."""
     removed = {name for op, name, _ in ops if op == "remove_field"}
@@ -67,6 +113,8 @@ def apply_changes(schema: Table, frame: DataFrame, ops: list[tuple]) -> tuple[Ta
             )
         elif op == "modify_field":
             col = convert_column(F.col(name), frame.schema[name].dataType, x)
+            if frame.schema[name].dataType != x.spark and not frame.where(F.col(name).isNotNull() & col.isNull()).isEmpty():
+                raise SchemaError(f"{schema.name}.{name}: a value cannot become {FieldType(x.type).value}")
             if x.default is not None and not x.nullable:
                 col = F.coalesce(col, literal(x.default, x.spark))
             if x.max_length and x.type == FieldType.text:
@@ -84,6 +132,9 @@ def apply_changes(schema: Table, frame: DataFrame, ops: list[tuple]) -> tuple[Ta
             schema = schema.with_(foreign_keys=tuple(k for k in schema.foreign_keys if k.label(schema.name) != name))
         elif op == "set_ttl":
             schema = schema.with_(ttl=x)
+            if x and schema.with_ingest_time() != schema:  # rows that are there begin their life now
+                schema = schema.with_ingest_time()
+                frame = frame.withColumn(INGESTED, F.current_timestamp().cast("timestamp_ntz"))
         elif op == "set_key":
             if x.name != schema.key.name:
                 frame = frame.withColumnRenamed(schema.key.name, x.name)

@@ -18,7 +18,7 @@ from quernel.functions.values import literal
 from quernel.plans import cursor as keyset
 from quernel.plans.aggregate import Agg
 from quernel.plans.condition import Condition
-from quernel.schema import Table
+from quernel.schema import INGESTED, Table
 
 DEFAULT_PAGE = 1000
 MOST_OFFSET = 10_000
@@ -258,10 +258,11 @@ class QueryBuilder(Condition):
 
     def _default_items(self, frame: DataFrame) -> list[Column]:
         """All columns; after joins without their table's name unless two tables share a field's."""
+        columns = [c for c in frame.columns if c.rpartition(".")[2] != INGESTED]
         if not self.joins:
-            return [F.col(f"`{c}`") for c in frame.columns]
-        short = [c.partition(".")[2] for c in frame.columns]
-        return [F.col(f"`{c}`").alias(s if short.count(s) == 1 else c) for c, s in zip(frame.columns, short, strict=True)]
+            return [F.col(f"`{c}`") for c in columns]
+        short = [c.partition(".")[2] for c in columns]
+        return [F.col(f"`{c}`").alias(s if short.count(s) == 1 else c) for c, s in zip(columns, short, strict=True)]
 
     def _items(self, frame: DataFrame, resolve) -> list[Column]:
         plain = [i for i in self.items if not isinstance(i, Agg)]
@@ -329,6 +330,13 @@ class QueryBuilder(Condition):
             return self._limited(self._sorted(frame, order, resolve)).select(*items)
         return self._limited(out)
 
+    def ordered(self) -> QueryBuilder:
+        """The query in its order, else in that of the primary key."""
+        key = self._key()
+        if not self.order and key and not (self.aggregates or self.groups_by or self.distinct_fields is not None):
+            self.order.append((key, False))
+        return self
+
     def _first_rows(self, frame: DataFrame, resolve, order: list[tuple[str, bool]]) -> DataFrame:
         """The first row of each value of the distinct fields; pre-aggregated where the order has one direction."""
         keys = [resolve(n)[0] for n in self.distinct_fields]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -230,19 +231,19 @@ for _n, _f in {
 
 # -- order, limit, paging ------------------------------------------------------------------------------------------
 OP = "o_orderkey, o_totalprice"
-q("order_asc", f"SELECT {OP} FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50")(lambda d: d.query("orders").order_by_asc("o_totalprice").limit(50).select(OP.split(", ")).df())
-q("order_desc", f"SELECT {OP} FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda d: d.query("orders").order_by("-o_totalprice").limit(50).select(OP.split(", ")).df())
-q("order_multi", f"SELECT {OP} FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 50")(lambda d: d.query("orders").order_by("o_orderstatus ASC").order_by("o_totalprice DESC").limit(50).select(OP.split(", ")).df())
+q("order_asc", f"SELECT {OP} FROM orders ORDER BY o_totalprice, o_orderkey")(lambda d: d.query("orders").order_by_asc("o_totalprice").select(OP.split(", ")).df())
+q("order_desc", f"SELECT {OP} FROM orders ORDER BY o_totalprice DESC, o_orderkey")(lambda d: d.query("orders").order_by("-o_totalprice").select(OP.split(", ")).df())
+q("order_multi", f"SELECT {OP} FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")(lambda d: d.query("orders").order_by("o_orderstatus ASC").order_by("o_totalprice DESC").select(OP.split(", ")).df())
 q("top_k", f"SELECT {OP} FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(lambda d: d.query("orders").where("o_orderstatus", "=", "O").order_by_desc("o_totalprice").limit(10).select(OP.split(", ")).df())
 q("limit_n", f"SELECT {OP} FROM orders ORDER BY o_orderkey LIMIT 25")(lambda d: d.query("orders").limit(25).select(OP.split(", ")).df())
 q("offset_limit", f"SELECT {OP} FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 30")(lambda d: d.query("orders").order_by_asc("o_totalprice").offset(30).limit(20).select(OP.split(", ")).df())
 
 
-@q("order_nulls", f"SELECT o_orderkey, s FROM {NULLS} t ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 60")
+@q("order_nulls", f"SELECT o_orderkey, s FROM {NULLS} t ORDER BY s ASC NULLS FIRST, o_orderkey")
 def order_nulls(d: Database) -> DataFrame:
     db = Database(d.spark)
     db.schemas[("default", "t")], db.frames[("default", "t")] = _t("t", "o_orderkey", "s:s"), _nulls(d)
-    return db.query("t").order_by_asc("s").limit(60).df()
+    return db.query("t").order_by_asc("s").df()
 
 
 @q("keyset_page2", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 15 OFFSET 15")
@@ -322,7 +323,7 @@ _vec("vec_l2", lambda a, b: F.round(vectors.l2(a, b), 6), "round(list_distance(v
 _vec("vec_manhattan", lambda a, b: F.round(vectors.manhattan(a, b), 5), "round(list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))), 5)")
 _vec("vec_norm", lambda a, b: F.round(vectors.norm(vectors.scale(a, 3)), 5), "round(3 * sqrt(list_inner_product(v, v)), 5)")
 _vec("vec_add", lambda a, b: F.round(vectors.dot(vectors.add(a, b), vectors.subtract(a, vectors.scale(b, -1))), 5), "round(list_inner_product(v, v) + 2 * list_inner_product(v, q) + list_inner_product(q, q), 5)")
-_vec("vec_normalize", lambda a, b: F.round(vectors.norm(vectors.normalize(a)), 6), "CAST(1 AS DOUBLE)")
+_vec("vec_normalize", lambda a, b: F.round(vectors.dot(vectors.normalize(a), b), 6), "round(list_inner_product(v, q) / sqrt(list_inner_product(v, v)), 6)")
 _vec("vec_subvector", lambda a, b: F.round(vectors.dot(vectors.subvector(a, 4, 8), vectors.subvector(b, 4, 8)), 6), "round(list_inner_product(v[5:12], q[5:12]), 6)")
 _vec("vec_concat", lambda a, b: F.round(vectors.norm(vectors.concat(vectors.doubles(a), vectors.truncate(b, 16))), 5), "round(sqrt(list_inner_product(v, v) + list_inner_product(q[1:16], q[1:16])), 5)")
 
@@ -384,6 +385,43 @@ def write_validate(d: Database) -> DataFrame:
     return W.validate(d.frame("part").select("p_partkey", "p_name", "p_size"), s).select(F.col("p_partkey").alias("key"), F.col("_error").alias("error"), "p_name")
 
 
+@q("write_batch_update_sparse", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'renamed' ELSE s_name END AS s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, round(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1000 ELSE s_acctbal END, 2) AS s_acctbal FROM supplier")
+def write_batch_update_sparse(d: Database) -> DataFrame:
+    """Some rows supply a balance alone, some a name alone."""
+    key = F.col("s_suppkey")
+    given = F.when(key % 3 == 0, F.array(F.lit("s_suppkey"), F.lit("s_acctbal"))).otherwise(F.array(F.lit("s_suppkey"), F.lit("s_name")))
+    rows = d.frame("supplier").where(key % 3 != 2).select("s_suppkey", F.when(key % 3 == 1, "renamed").alias("s_name"), F.when(key % 3 == 0, F.col("s_acctbal") + 1000).alias("s_acctbal"), given.alias("_given"))
+    return _bal(W.batch_update(d.frame("supplier"), rows, SUPPLIER).frame)
+
+
+@q("write_upsert_expr_rows", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, round(CASE s_suppkey % 3 WHEN 0 THEN s_acctbal + 100 WHEN 1 THEN s_acctbal * 2 ELSE 7 END, 2) AS s_acctbal FROM supplier")
+def write_upsert_expr_rows(d: Database) -> DataFrame:
+    """Each row has its own expression, or a plain value."""
+    key = F.col("s_suppkey")
+    rows = d.frame("supplier").select("s_suppkey", F.when(key % 3 == 2, 7.0).alias("s_acctbal"), F.when(key % 3 == 0, 0).when(key % 3 == 1, 1).alias("_x_s_acctbal"))
+    balance = X.field("s_acctbal")
+    return _bal(W.upsert(d.frame("supplier"), rows, SUPPLIER, {"s_acctbal": [balance + 100, balance * 2]}).frame)
+
+
+@q("write_update_fk", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 1 THEN 1 ELSE n_regionkey END AS BIGINT) AS n_regionkey FROM nation")
+def write_update_fk(d: Database) -> DataFrame:
+    """Every other nation is sent to a region that does not exist, and stays."""
+    s = d.schema("nation").with_(foreign_keys=(_fk("n_regionkey", "region", "r_regionkey"),))
+    rows = d.frame("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 1, 1).otherwise(99).alias("n_regionkey"))
+    out = W.batch_update(d.frame("nation"), rows, s, parents={"region": d.frame("region")}).frame
+    return out.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+@q("write_upsert_unique", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 1 THEN 'F' || s_suppkey WHEN s_suppkey % 5 = 0 AND s_suppkey + 2 NOT IN (SELECT s_suppkey FROM supplier) THEN 'S' || (s_suppkey + 2) ELSE 'S' || s_suppkey END AS s_name FROM supplier")
+def write_upsert_unique(d: Database) -> DataFrame:
+    """Rows that ask for a name that another row has are refused."""
+    s = SUPPLIER.with_(fields=tuple(dataclasses.replace(f, unique=f.name == "s_name") for f in SUPPLIER.fields))
+    key = F.col("s_suppkey")
+    old = d.frame("supplier").withColumn("s_name", F.concat(F.lit("S"), key))
+    rows = old.where(key % 5 < 2).select("s_suppkey", F.when(key % 5 == 1, F.concat(F.lit("F"), key)).otherwise(F.concat(F.lit("S"), key + 2)).alias("s_name"))
+    return W.upsert(old, rows, s).frame.select("s_suppkey", "s_name")
+
+
 @q("upsert_counter", "SELECT user_id, n + coalesce(old, 0) AS hits FROM (SELECT user_id, 1 AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 1) a) x LEFT JOIN (SELECT user_id AS u, count(*) AS old FROM events WHERE event_id % 2 = 0 GROUP BY 1) y ON user_id = u UNION ALL SELECT user_id, count(*) FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1) GROUP BY 1")
 def upsert_counter(d: Database) -> DataFrame:
     """A counter that starts at 1 and grows by 1: the insert sees no fields."""
@@ -397,7 +435,26 @@ def upsert_counter(d: Database) -> DataFrame:
 # -- constraints, keys, lifetime, key-value ------------------------------------------------------------------------
 q("check_unique", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")(lambda d: constraints.duplicates(d.frame("orders"), ("o_custkey",)))
 q("check_fk_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(lambda d: constraints.orphans(d.frame("orders"), d.frame("customer").where("c_acctbal > 0"), _fk("o_custkey", "customer", "c_custkey")).select("o_orderkey"))
-q("fk_restrict", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")(lambda d: constraints.children(d.frame("orders"), d.frame("customer").where("c_nationkey = 7"), _fk("o_custkey", "customer", "c_custkey")).select("o_orderkey", "o_custkey"))
+q("fk_children", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")(lambda d: constraints.children(d.frame("orders"), d.frame("customer").where("c_nationkey = 7"), _fk("o_custkey", "customer", "c_custkey")).select("o_orderkey", "o_custkey"))
+
+
+@q("fk_restrict", "SELECT 'with' AS orders, EXISTS (SELECT * FROM orders) AS refused, (SELECT count(*) FROM customer) - CASE WHEN EXISTS (SELECT * FROM orders) THEN 0 ELSE (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) END AS customers_left UNION ALL SELECT 'without', false, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))")
+def fk_restrict(d: Database) -> DataFrame:
+    """Customers with orders may not go, those without may."""
+    schemas = {s.name: s for s in SCHEMAS if s.name in ("customer", "orders")}
+    schemas["orders"] = schemas["orders"].with_(foreign_keys=(_fk("o_custkey", "customer", "c_custkey", Action.restrict),))
+    frames = {n: d.frame(n) for n in schemas}
+    ordered = frames["orders"].select(F.col("o_custkey").alias("c_custkey")).distinct()
+    out = []
+    for name, how in (("with", "left_semi"), ("without", "left_anti")):
+        refused = False
+        try:
+            left = constraints.cascade_delete(frames, schemas, "customer", frames["customer"].join(ordered, "c_custkey", how)).frames["customer"]
+        except constraints.ConstraintError:
+            refused, left = True, frames["customer"]
+        out.append(left.agg(F.count(F.lit(1)).alias("customers_left")).select(F.lit(name).alias("orders"), F.lit(refused).alias("refused"), "customers_left"))
+    return out[0].unionAll(out[1])
+
 
 CHAIN = [s for s in SCHEMAS if s.name in ("region", "nation", "customer", "supplier", "orders")]
 
@@ -495,7 +552,7 @@ def evolve_table(d: Database) -> DataFrame:
 
 @q("batch_cursor", "SELECT count(*) AS n, CAST(ceil(count(*) / 400.0) AS BIGINT) AS batches FROM part")
 def batch_cursor(d: Database) -> DataFrame:
-    """Keyset batches of 400 rows over the whole table, in constant driver memory."""
+    """Batches of 400 rows over the whole table, a partition at a time on the driver."""
     sizes: list[int] = []
     n = d.query_each_batch(d.query("part").select(["p_partkey"]), lambda rows: sizes.append(len(rows)), 400)
     return d.spark.createDataFrame([(n, len(sizes))], "n long, batches long")

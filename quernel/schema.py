@@ -118,6 +118,10 @@ class Ttl:
     field: str | None = None
 
 
+#: The field that holds the ingest time of rows whose lifetime names no field. It is not part of what queries show by default.
+INGESTED = "ingested_at__"
+
+
 @dataclass(frozen=True)
 class PrimaryKey:
     name: str = "id"
@@ -179,6 +183,22 @@ class Table:
         """The primary key first, then the fields in order."""
         return [self.key.name, *(f.name for f in self.fields)]
 
+    @property
+    def shown(self) -> list[str]:
+        """The columns that a query shows if it names none."""
+        return [c for c in self.columns if c != INGESTED]
+
+    @property
+    def ttl_source(self) -> str | None:
+        """The field that a row's lifetime is counted from."""
+        return self.ttl and (self.ttl.field or INGESTED)
+
+    def with_ingest_time(self) -> Table:
+        """With the field that holds the ingest time, if the lifetime is counted from that."""
+        if not self.ttl or self.ttl.field or INGESTED in self.columns:
+            return self
+        return self.with_(fields=(*self.fields, Field(INGESTED, FieldType.datetime, default_now=True)))
+
     @property
     def struct(self) -> T.StructType:
         return T.StructType([T.StructField(n, self.field(n).spark) for n in self.columns])

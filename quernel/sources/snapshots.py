@@ -1,8 +1,9 @@
-"""Snapshots of tables as Parquet under one folder: a commit writes new table versions, then swaps one manifest."""
+"""Snapshots of tables as Parquet under one folder: a commit writes new table versions, then one manifest that names them."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,19 @@ class Folder:
         finally:
             stream.close()
 
-    def write_text(self, name: str, text: str) -> None:
-        """Whole or not at all: written beside, then renamed."""
-        beside = f"{name}.{uuid.uuid4().hex}"
+    def names(self) -> list[str]:
+        """What lies in the folder itself."""
+        return [x.getPath().getName() for x in self._fs.listStatus(self._at(""))] if self.exists() else []
+
+    def create_text(self, name: str, text: str) -> None:
+        """A new file, whole or not at all: written beside, then renamed. An existing one stays and raises FileExistsError."""
+        beside = f".{name}.{uuid.uuid4().hex}"
         stream = self._fs.create(self._at(beside), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self._fs.exists(self._at(name)):
-            self._fs.delete(self._at(name), False)
-        self._fs.rename(self._at(beside), self._at(name))
+        if self.exists(name) or not self._fs.rename(self._at(beside), self._at(name)):
+            self._fs.delete(self._at(beside), False)
+            raise FileExistsError(f"{self.path}/{name}")
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
@@ -52,20 +57,34 @@ class Folder:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+_MANIFEST = re.compile(r"manifest-(\d{12})\.json")
+#: Manifests that are kept, the current one included.
+KEPT = 3
+
+
 class Store:
-    """Versioned tables: ``manifest.json`` names the current folder of each, so readers see one commit or the next."""
+    """Versioned tables: the manifest of the highest number names the current folder of each, so readers see one commit or the next.
+
+    Manifests are only ever added; a commit is the appearance of the next one. A crash before that leaves the old commit, one after it
+    the new. Of two writers that commit the same number the second fails.
+    """
 
     def __init__(self, folder: Folder):
         self.folder = folder
 
     def load(self) -> dict:
-        if not self.folder.exists("manifest.json"):
-            return {"version": 0, "user_version": 0, "tables": {}}
-        return json.loads(self.folder.read_text("manifest.json"))
+        found = self._manifests()
+        return json.loads(self.folder.read_text(found[-1])) if found else {"version": 0, "user_version": 0, "tables": {}}
+
+    def _manifests(self) -> list[str]:
+        return sorted(n for n in self.folder.names() if _MANIFEST.fullmatch(n))
 
     def commit(self, manifest: dict) -> None:
-        manifest["version"] += 1
-        self.folder.write_text("manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
+        new = manifest | {"version": manifest["version"] + 1}
+        self.folder.create_text(f"manifest-{new['version']:012d}.json", json.dumps(new, indent=1, sort_keys=True))
+        manifest["version"] = new["version"]
+        for old in self._manifests()[:-KEPT]:
+            self.folder.delete(old)
 
     def write(self, space: str, table: str, frame: DataFrame) -> tuple[str, DataFrame]:
         name = f"{space}/{table}/{uuid.uuid4().hex}"

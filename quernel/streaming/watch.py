@@ -6,11 +6,32 @@ import queue
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def concerns(query, event: dict) -> bool:
+    """Whether a change can have an effect on a query: a changed row, as it was or as it is now, meets the query's predicate.
+
+    Queries with joins, and changes that do not tell their rows, are not looked into.
+    """
+    if query.joins or "report" not in event or event["table"] != query.table or "before" not in event or query.is_empty:
+        return True
+    db = query.database
+    key = db.schema(query.table).key.name
+    changed = event["report"].where("error is null").select(F.col("key").alias("_changed"))
+    if event["op"] in ("insert", "upsert") and not changed.where("_changed is null").isEmpty():
+        return True  # the key was made by the write
+    for frame in (event["before"], db.frame(query.table)):
+        if key in frame.columns:
+            rows = frame.join(changed, F.col(key).cast("string") == F.col("_changed").cast("string"), "left_semi")
+            if not rows.where(query.to_column(lambda n, f=frame: (F.col(f"`{n}`"), f.schema[n].dataType))).isEmpty():
+                return True
+    return False
+
+
 def watch_query(query, timeout: float | None = None, distinct: bool = True) -> Iterator[list[Row]]:
-    """The query's page now, and again after each commit to a table it reads; bursts of commits give one result.
+    """The query's page now, and again after each commit that ``concerns`` it; bursts of commits give one result.
 
     ``timeout`` ends the wait for a change, in seconds. With ``distinct`` a result equal to the last is left out.
     """
@@ -18,7 +39,7 @@ def watch_query(query, timeout: float | None = None, distinct: bool = True) -> I
     tables = {query.table, *(j.table for j in query.joins)}
 
     def listen(event: dict) -> None:
-        if event["table"] in tables:
+        if tables & {event["table"], *event.get("tables", ())}:
             changes.put(event)
 
     db.listeners.append(listen)
@@ -29,12 +50,15 @@ def watch_query(query, timeout: float | None = None, distinct: bool = True) -> I
             if not distinct or rows != last:
                 yield rows
             last = rows
-            try:
-                changes.get(timeout=timeout)
-            except queue.Empty:
-                return
-            while not changes.empty():  # a burst is one change
-                changes.get()
+            stirred = False
+            while not stirred:
+                try:
+                    burst = [changes.get(timeout=timeout)]
+                except queue.Empty:
+                    return
+                while not changes.empty():  # a burst is one change
+                    burst.append(changes.get())
+                stirred = any(concerns(query, e) for e in burst)
     finally:
         db.listeners.remove(listen)
 
