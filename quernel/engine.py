@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from quernel.functions.expr import Expr, field, greatest, least, now
 from quernel.operators import constraints, lifetime, vector_search
 from quernel.operators import write as W
+from quernel.operators.vector_index import VectorIndex
 from quernel.operators.write import Status, Written
 from quernel.plans.condition import Condition
 from quernel.plans.evolve import SchemaBuilder, apply_changes, broken, diff
@@ -113,6 +114,7 @@ class Database:
         self.frames: dict[tuple[str, str], DataFrame] = {}
         self.versions: dict[tuple[str, str], int] = {}
         self.cache = QueryCache()
+        self.vector_indexes: dict[tuple, list] = {}  # (table, field) -> [index, the snapshot it is of]
         self.listeners: list[Callable[[dict], None]] = []
         self._transaction: dict | None = None
         self.migrations: dict[str, dict] = {}
@@ -369,8 +371,24 @@ class Database:
                 break
         return seen
 
-    def vector_search(self, table: str, name: str, query: list[float], top_k: int = 10, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
-        return vector_search.search(self.frame(table), name, query, top_k, metric, self.schema(table).key.name, threshold)
+    def vector_search(self, table: str, name: str, query: list[float], top_k: int = 10, metric: str = "cosine", threshold: float | None = None, ef_search: int | None = None) -> DataFrame:
+        """The nearest rows: exact over all rows, or with ``ef_search`` through the field's index, which is made or brought up to date first."""
+        frame, key = self.frame(table), self.schema(table).key.name
+        if ef_search is None:
+            return vector_search.search(frame, name, query, top_k, metric, key, threshold)
+        return self.vector_index(table, name).search(frame, query, top_k, metric, threshold, ef_search)
+
+    def vector_index(self, table: str, name: str, parts: int = 16) -> VectorIndex:
+        """The approximate index of a field, as of the table's current rows."""
+        where, frame = self._where(table), self.frame(table)
+        held = self.vector_indexes.get((where, name))
+        if held is None:
+            held = [VectorIndex(frame, name, self.schema(table).key.name, parts, _checkpoint), frame]
+            self.vector_indexes[where, name] = held
+        elif held[1] is not frame:
+            held[0].refresh(frame)
+            held[1] = frame
+        return held[0]
 
     # -- writing -----------------------------------------------------------------------------------------------
 
@@ -526,7 +544,7 @@ class Database:
     def backup(self, path: str, scope: str = "spaceWithGlobal") -> str:
         """Copies the snapshots of a ``space``, a ``spaceWithGlobal`` or the whole ``database`` to ``path``, with a manifest."""
         target = Store(Folder(self.spark, path))
-        out = {"version": 0, "user_version": self.manifest["user_version"], "tables": {}}
+        out = {"version": target.load()["version"], "user_version": self.manifest["user_version"], "tables": {}}
         for where, s in self.schemas.items():
             if scope == "database" or where[0] == self.space or scope == "spaceWithGlobal" and where[0] == GLOBAL:
                 folder, _ = target.write(*where, self.frames[where])

@@ -302,6 +302,15 @@ for _m, _d, _s in (
 
     q(f"vector_topk_{_m}", f"SELECT vec_id, round(d, 6) AS distance, round({_s}, 6) AS score FROM (SELECT vec_id, {_d} AS d FROM {VEC} t) u ORDER BY d, vec_id LIMIT 10")(_topk)
 
+
+
+@q("vector_ann", "SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, 1 - list_cosine_similarity(v, q) AS d FROM " + VEC + " t) u ORDER BY d, vec_id LIMIT 1")
+def vector_ann(d: Database) -> DataFrame:
+    """The nearest row through the approximate index (the query's own vector, whose codes are nearest too)."""
+    out = d.vector_search("embeddings", "embedding", _query_vector(d), 1, "cosine", ef_search=64)
+    return out.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 q("vector_threshold", f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, list_distance(v, q) AS d FROM {VEC} t) u WHERE d <= 1.2")(
     lambda d: vector_search.search(d.frame("embeddings"), "embedding", _query_vector(d), 10**6, "l2", "vec_id", 1.2).select("vec_id", F.round("distance", 6).alias("distance"))
 )

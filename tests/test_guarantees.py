@@ -147,3 +147,29 @@ def test_unique_index_over_several_fields(spark):
     assert db.batch_insert("items", [{"name": "a", "n": 1}, {"name": "a", "n": 2}, {"name": "a"}, {"name": "a"}]).is_success
     assert db.batch_update("items", [{"id": 2, "n": 1}]).is_failed and db.batch_update("items", [{"id": 3, "n": 1}, {"id": 4, "n": 3}]).is_partial
     assert db.update("items", {"n": 9}).where("name", "=", "a").run().is_failed
+
+
+def test_approximate_search(spark):
+    import numpy as np
+
+    from quernel.operators.vector_index import recall
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 32))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(3000, None, 1), (3001, [1.0, 2.0], 1), (3002, [0.0] * 32, 1)]
+    db = Database.memory(spark, [Table("v", (Field("e", T.vector, width=32), Field("n", T.integer)))])
+    db._set({"v": spark.createDataFrame(rows, "id long, e array<double>, n long").repartition(3)})
+    for metric in ("cosine", "l2", "ip"):
+        scores = []
+        for q in x[:8] + rng.normal(size=(8, 32)) * 0.3:
+            exact = db.vector_search("v", "e", q.tolist(), 10, metric)
+            near = db.vector_search("v", "e", q.tolist(), 10, metric, ef_search=120)
+            scores.append(recall(near, exact, "id"))
+            assert near.columns == exact.columns
+        assert sum(scores) / len(scores) >= 0.9
+    index = db.vector_index("v", "e")
+    assert index.codes.count() == 3001 and len(index.codes.first().code) == 16
+    assert db.delete("v").where("id", "=", 5).run().is_success and db.batch_update("v", [{"id": 7, "e": x[5].tolist()}, {"id": 8, "n": 2}]).is_success
+    near = db.vector_search("v", "e", x[5].tolist(), 1, "l2", ef_search=50).collect()
+    assert [(r.id, round(r.distance, 6)) for r in near] == [(7, 0.0)] and db.vector_index("v", "e") is index and index.codes.count() == 3000
+    assert db.vector_search("v", "e", x[9].tolist(), 3, "l2", threshold=0.5, ef_search=50).count() == 1
