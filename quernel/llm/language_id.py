@@ -14,7 +14,7 @@ from quernel.llm.base import others, text_udf
 #: Symbols of a segment. A text's segments are parsed in step with those of other texts and then joined, as if parsed in one go.
 SEGMENT = 2048
 #: Segments times languages that are parsed in step: bounds memory whatever the batch.
-LANES = 6144
+LANES = 8192
 #: Bits of a state in the transition table; a key has as many.
 MOST_BITS = 31
 #: An entry of the transition table that holds nothing, and an odd number that spreads keys over the table.
@@ -54,7 +54,7 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 class LanguageModel:
     """Suffix automata of the languages' texts, with their transitions in one open hash table.
 
-    The table has two to four entries of 8 bytes for each transition (some 50 bytes for each symbol learned from), whatever the number of
+    The table has four to eight entries of 8 bytes for each transition (some 100 bytes for each symbol learned from), whatever the number of
     letters. States are numbered through all languages; ``roots`` has each language's first.
 
     A parse is greedy: a phrase is the longest stretch of the rest that occurs in the language's text; a symbol that does not occur
@@ -89,7 +89,7 @@ class LanguageModel:
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Entries hold a key and, in their last bits, a state."""
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(4 * len(keys)).bit_length())
         self.table = np.full(1 << self.bits, FREE, np.int64)
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
