@@ -208,18 +208,21 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
     return Written(existing.unionByName(made.where("_error is null").select(*existing.columns)), report)
 
 
-def violations(frame: DataFrame, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> DataFrame | None:
+def violations(existing: DataFrame, frame: DataFrame, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> DataFrame | None:
     """(``_id``, ``_why``) of changed rows that share a unique value with another row, or refer to no parent; None if nothing can clash.
 
-    ``frame`` is the table after a write, with ``_changed`` and, for changed rows, ``_id``. Of changed rows that share a value that no
-    unchanged row has, the one of the smallest id stays. Only values of changed rows are looked up.
+    ``frame`` is the table after a write to ``existing``, with ``_changed`` and, for changed rows, ``_id``. Of changed rows that share a
+    value that no other row has, the one of the smallest id stays. Only values of changed rows are looked up, in ``existing``. Primary keys
+    cannot clash: a row of the same key is the row itself, and made keys are new.
     """
-    changed, parts = frame.where("_changed"), []
+    key, changed, parts = schema.key.name, frame.where("_changed"), []
     for label, fields in schema.unique_keys().items():
-        if touched & set(fields):
-            mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select(*fields).distinct()
-            held = frame.join(mine, list(fields), "left_semi").groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("_changed")).alias("_before"), F.min(F.when(F.col("_changed"), F.col("_id"))).alias("_one"))
-            clash = changed.select("_id", *fields).join(held.where("_rows > 1"), list(fields)).where((F.col("_before") > 0) | (F.col("_id") != F.col("_one")))
+        if fields != (key,) and touched & set(fields):
+            mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select("_id", *fields)
+            others = existing.join(changed.select(F.col(key).alias("_moved")), F.col(key) == F.col("_moved"), "left_anti").select(*fields).join(mine.select(*fields).distinct(), list(fields), "left_semi")
+            both = mine.select(*fields, "_id", F.lit(0).alias("_other")).unionByName(others.select(*fields, F.lit(None).cast("string").alias("_id"), F.lit(1).alias("_other")))
+            held = both.groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_other").alias("_others"), F.min("_id").alias("_one")).where("_rows > 1")
+            clash = mine.join(held, list(fields)).where((F.col("_others") > 0) | (F.col("_id") != F.col("_one")))
             parts.append(clash.select("_id", F.lit(f"{label}: taken").alias("_why")))
     for fk in schema.foreign_keys:
         if fk.enabled and touched & set(fk.fields) and parents and fk.table in parents:
@@ -228,18 +231,18 @@ def violations(frame: DataFrame, schema: Table, touched: set[str], parents: dict
     return functools.reduce(DataFrame.unionAll, parts) if parts else None
 
 
-def _settled(made: DataFrame, merge, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, str | None]:
+def _settled(existing: DataFrame, made: DataFrame, merge, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, str | None]:
     """(rows with their errors, the table after those without, what is still broken). ``merge`` makes the table from rows.
 
     Rows that break a constraint are taken out once; if that leaves another one broken, the write fails as a whole.
     """
     frame = merge(made)
-    bad = violations(frame, schema, touched, parents)
+    bad = violations(existing, frame, schema, touched, parents)
     if bad is None or (bad := bad.groupBy("_id").agg(F.min("_why").alias("_why"))).isEmpty():
         return made, frame, None
     made = made.join(bad.withColumnRenamed("_id", "_bad"), F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
     frame = merge(made)
-    left = violations(frame, schema, touched, parents).select("_why").first()
+    left = violations(existing, frame, schema, touched, parents).select("_why").first()
     return made, frame, left[0] if left else None
 
 
@@ -298,7 +301,7 @@ def _apply(existing: DataFrame, made: DataFrame, schema: Table, given: list[str]
         bad = _broken_rules(merge(made), schema, exprs).withColumnRenamed("_id", "_bad")
         made = made.join(bad, F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
     touched = set(given) | set(exprs) | (set(schema.columns) if insert else set())
-    return _settled(made, merge, schema, touched if insert else touched - {schema.key.name}, parents)
+    return _settled(existing, made, merge, schema, touched if insert else touched - {schema.key.name}, parents)
 
 
 def _exprs(rows: DataFrame, updates: dict[str, Expr | list[Expr]] | None) -> tuple[DataFrame, dict[str, list[Expr]]]:
@@ -421,7 +424,7 @@ def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[s
         change = F.col("_hit") & F.col("_error").isNull()
         return rows.select(*(F.when(change, cols[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in existing.columns), change.alias("_changed"), "_id")
 
-    marked, frame, broken = _settled(marked, merge, schema, set(changes), parents)
+    marked, frame, broken = _settled(existing, marked, merge, schema, set(changes), parents)
     report = marked.where("_hit").select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
     if broken:
         return Written(existing, report.withColumn("error", F.lit(broken)), False)
