@@ -454,11 +454,11 @@ class Database:
 
     def batch_upsert(self, table: str, rows) -> Result:
         frame, exprs = self.rows_and_exprs(table, rows)
-        return self._written(table, W.upsert(self.frame(table), frame, self.schema(table), exprs, parents=self._parents(table)), "upsert")
+        return self._written(table, W.upsert(self.frame(table), frame, self.schema(table), exprs, parents=self._parents(table), persist=_checkpoint), "upsert")
 
     def batch_update(self, table: str, rows, allow_partial_errors: bool = True) -> Result:
         frame, exprs = self.rows_and_exprs(table, rows)
-        return self._written(table, W.batch_update(self.frame(table), frame, self.schema(table), allow_partial_errors, updates=exprs, parents=self._parents(table)), "update")
+        return self._written(table, W.batch_update(self.frame(table), frame, self.schema(table), allow_partial_errors, updates=exprs, parents=self._parents(table), persist=_checkpoint), "update")
 
     def update(self, table: str, values: dict | None = None) -> UpdateBuilder:
         return UpdateBuilder(self, table, values)

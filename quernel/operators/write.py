@@ -6,7 +6,7 @@ import datetime as dt
 import functools
 import itertools
 import operator
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from enum import IntEnum
 from typing import Any
@@ -57,6 +57,13 @@ class Written:
         return Status.success if not bad else Status.partialSuccess if good and self.applied else Status.validationFailed
 
 
+Persist = Callable[[DataFrame], DataFrame] | None
+
+
+def _same(frame: DataFrame) -> DataFrame:
+    return frame
+
+
 def resolver(frame: DataFrame):
     return lambda n: (F.col(f"`{n}`"), frame.schema[n].dataType)
 
@@ -208,41 +215,45 @@ def insert(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: b
     return Written(existing.unionByName(made.where("_error is null").select(*existing.columns)), report)
 
 
-def violations(existing: DataFrame, frame: DataFrame, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> DataFrame | None:
+def violations(existing: DataFrame, frame: DataFrame, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None, persist: Persist = None) -> DataFrame | None:
     """(``_id``, ``_why``) of changed rows that share a unique value with another row, or refer to no parent; None if nothing can clash.
 
     ``frame`` is the table after a write to ``existing``, with ``_changed`` and, for changed rows, ``_id``. Of changed rows that share a
     value that no other row has, the one of the smallest id stays. Only values of changed rows are looked up, in ``existing``. Primary keys
     cannot clash: a row of the same key is the row itself, and made keys are new.
     """
-    key, changed, parts = schema.key.name, frame.where("_changed"), []
-    for label, fields in schema.unique_keys().items():
-        if fields != (key,) and touched & set(fields):
-            mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select("_id", *fields)
-            others = existing.join(changed.select(F.col(key).alias("_moved")), F.col(key) == F.col("_moved"), "left_anti").select(*fields).join(mine.select(*fields).distinct(), list(fields), "left_semi")
-            both = mine.select(*fields, "_id", F.lit(0).alias("_other")).unionByName(others.select(*fields, F.lit(None).cast("string").alias("_id"), F.lit(1).alias("_other")))
-            held = both.groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_other").alias("_others"), F.min("_id").alias("_one")).where("_rows > 1")
-            clash = mine.join(held, list(fields)).where((F.col("_others") > 0) | (F.col("_id") != F.col("_one")))
-            parts.append(clash.select("_id", F.lit(f"{label}: taken").alias("_why")))
-    for fk in schema.foreign_keys:
-        if fk.enabled and touched & set(fk.fields) and parents and fk.table in parents:
-            refs = frame if fk.table == schema.name else parents[fk.table]
-            parts.append(orphans(changed.select("_id", *fk.fields), refs, fk).select("_id", F.lit(f"{fk.label(schema.name)}: no parent").alias("_why")))
-    return functools.reduce(DataFrame.unionAll, parts) if parts else None
-
-
-def _settled(existing: DataFrame, made: DataFrame, merge, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, str | None]:
+    key, parts = schema.key.name, []
+    keys = {label: fields for label, fields in schema.unique_keys().items() if fields != (key,) and touched & set(fields)}
+    fks = [fk for fk in schema.foreign_keys if fk.enabled and touched & set(fk.fields) and parents and fk.table in parents]
+    if not keys and not fks:
+        return None
+    changed = (persist or _same)(frame.where("_changed"))
+    for label, fields in keys.items():
+        mine = changed.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in fields))).select("_id", *fields)
+        others = existing.join(changed.select(F.col(key).alias("_moved")), F.col(key) == F.col("_moved"), "left_anti").select(*fields).join(mine.select(*fields).distinct(), list(fields), "left_semi")
+        both = mine.select(*fields, "_id", F.lit(0).alias("_other")).unionByName(others.select(*fields, F.lit(None).cast("string").alias("_id"), F.lit(1).alias("_other")))
+        held = both.groupBy(*fields).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_other").alias("_others"), F.min("_id").alias("_one")).where("_rows > 1")
+        clash = mine.join(held, list(fields)).where((F.col("_others") > 0) | (F.col("_id") != F.col("_one")))
+        parts.append(clash.select("_id", F.lit(f"{label}: taken").alias("_why")))
+    for fk in fks:
+        refs = frame if fk.table == schema.name else parents[fk.table]
+        parts.append(orphans(changed.select("_id", *fk.fields), refs, fk).select("_id", F.lit(f"{fk.label(schema.name)}: no parent").alias("_why")))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def _settled(existing: DataFrame, made: DataFrame, merge, schema: Table, touched: set[str], parents: dict[str, DataFrame] | None, persist: Persist = None) -> tuple[DataFrame, DataFrame, str | None]:
     """(rows with their errors, the table after those without, what is still broken). ``merge`` makes the table from rows.
 
     Rows that break a constraint are taken out once; if that leaves another one broken, the write fails as a whole.
     """
     frame = merge(made)
-    bad = violations(existing, frame, schema, touched, parents)
+    bad = violations(existing, frame, schema, touched, parents, persist)
     if bad is None or (bad := bad.groupBy("_id").agg(F.min("_why").alias("_why"))).isEmpty():
         return made, frame, None
     made = made.join(bad.withColumnRenamed("_id", "_bad"), F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
+    made = (persist or _same)(made)
     frame = merge(made)
-    left = violations(existing, frame, schema, touched, parents).select("_why").first()
+    left = violations(existing, frame, schema, touched, parents, persist).select("_why").first()
     return made, frame, left[0] if left else None
 
 
@@ -294,14 +305,15 @@ def _broken_rules(frame: DataFrame, schema: Table, names: Iterable[str]) -> Data
     return frame.where(F.col("_changed")).select("_id", why.alias("_why")).where("_why is not null")
 
 
-def _apply(existing: DataFrame, made: DataFrame, schema: Table, given: list[str], exprs: dict[str, list[Expr]], now, insert: bool, parents) -> tuple[DataFrame, DataFrame, str | None]:
+def _apply(existing: DataFrame, made: DataFrame, schema: Table, given: list[str], exprs: dict[str, list[Expr]], now, insert: bool, parents, persist: Persist) -> tuple[DataFrame, DataFrame, str | None]:
     """``_settled`` after the rules of computed fields."""
+    made = (persist or _same)(made)
     merge = lambda rows: _merged(existing, rows, schema, given, exprs, now, insert)
     if exprs:
         bad = _broken_rules(merge(made), schema, exprs).withColumnRenamed("_id", "_bad")
-        made = made.join(bad, F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why")
+        made = (persist or _same)(made.join(bad, F.col("_id") == F.col("_bad"), "left").withColumn("_error", F.coalesce("_error", "_why")).drop("_bad", "_why"))
     touched = set(given) | set(exprs) | (set(schema.columns) if insert else set())
-    return _settled(existing, made, merge, schema, touched if insert else touched - {schema.key.name}, parents)
+    return _settled(existing, made, merge, schema, touched if insert else touched - {schema.key.name}, parents, persist)
 
 
 def _exprs(rows: DataFrame, updates: dict[str, Expr | list[Expr]] | None) -> tuple[DataFrame, dict[str, list[Expr]]]:
@@ -314,12 +326,13 @@ def _exprs(rows: DataFrame, updates: dict[str, Expr | list[Expr]] | None) -> tup
     return rows, out
 
 
-def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[str, Expr | list[Expr]] | None = None, now: Column | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
+def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[str, Expr | list[Expr]] | None = None, now: Column | None = None, parents: dict[str, DataFrame] | None = None, persist: Persist = None) -> Written:
     """Updates the row that a new row matches, by primary key or else by any complete unique key; inserts it if none.
 
     Only the fields that a row supplies change. Of several rows that match one, the last in arrival order counts, field by field. A
     row is rejected if its unique keys match different rows, if it leaves a unique value or a foreign key broken, or if it is new and lacks a
     field that may not be null. ``updates`` are expressions that see the old row; for inserts fields count as 0.
+    ``persist`` writes the batch down (a checkpoint, say), so that the checks do not each work it out anew.
     """
     key = schema.key.name
     rows, exprs = _exprs(rows, updates)
@@ -345,7 +358,7 @@ def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[st
     # identity of a row within the batch: what it matches, else its own key, else itself
     itself = F.concat(F.lit("row "), F.col("_seq").cast("string")) if "_seq" in made.columns else F.to_json(F.struct(*given))
     made = made.withColumn("_id", F.coalesce(F.col("_target").cast("string"), *owns, itself))
-    made, frame, broken = _apply(existing, made, schema, given, exprs, now, True, parents)
+    made, frame, broken = _apply(existing, made, schema, given, exprs, now, True, parents, persist)
     action = F.when(F.col("_target").isNull(), "insert").otherwise("update")
     report = made.select((F.coalesce("_target", key) if key in given else F.col("_target")).alias("key"), action.alias("action"), F.col("_error").alias("error"))
     if broken:
@@ -353,7 +366,7 @@ def upsert(existing: DataFrame, rows: DataFrame, schema: Table, updates: dict[st
     return Written(frame.select(*existing.columns), report)
 
 
-def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: bool = True, now: Column | None = None, updates: dict[str, Expr | list[Expr]] | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
+def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_partial: bool = True, now: Column | None = None, updates: dict[str, Expr | list[Expr]] | None = None, parents: dict[str, DataFrame] | None = None, persist: Persist = None) -> Written:
     """Updates rows by primary key; only the fields that a row supplies change. Unknown keys are errors, as are unique values that
     another row has and parents that are missing; of equal keys the last row counts, field by field. ``updates`` as for ``upsert``.
     """
@@ -363,7 +376,7 @@ def batch_update(existing: DataFrame, rows: DataFrame, schema: Table, allow_part
     made = validate(rows, schema, now, updating=True)
     known = existing.select(F.col(key).alias("_target"))
     made = made.join(known, F.col(key) == F.col("_target"), "left").withColumn("_error", F.coalesce("_error", F.when(F.col("_target").isNull(), F.lit("no such key")))).withColumn("_id", F.col("_target").cast("string"))
-    made, frame, broken = _apply(existing, made, schema, given, exprs, now, False, parents)
+    made, frame, broken = _apply(existing, made, schema, given, exprs, now, False, parents, persist)
     report = made.select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
     if broken:
         return Written(existing, report.withColumn("error", F.lit(broken)), False)
@@ -392,7 +405,7 @@ def _flag(existing: DataFrame, schema: Table, pick: Column | DataFrame) -> tuple
     return existing.join(pick.select(F.col(key).alias("_pick")), F.col(key) == F.col("_pick"), "left"), F.col("_pick").isNotNull()
 
 
-def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[str, Any], allow_all: bool = False, order=None, limit=None, offset=None, now: Column | None = None, parents: dict[str, DataFrame] | None = None) -> Written:
+def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[str, Any], allow_all: bool = False, order=None, limit=None, offset=None, now: Column | None = None, parents: dict[str, DataFrame] | None = None, persist: Persist = None) -> Written:
     """Sets fields to values or expressions in the rows that match. Primary keys do not change here. No match is ``notFound``.
 
     Rules hold as for new rows. A row that would come out with a unique value that another row has, or without its parent, stays
@@ -424,7 +437,7 @@ def update(existing: DataFrame, schema: Table, where: Condition, changes: dict[s
         change = F.col("_hit") & F.col("_error").isNull()
         return rows.select(*(F.when(change, cols[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in existing.columns), change.alias("_changed"), "_id")
 
-    marked, frame, broken = _settled(existing, marked, merge, schema, set(changes), parents)
+    marked, frame, broken = _settled(existing, marked, merge, schema, set(changes), parents, persist)
     report = marked.where("_hit").select(F.col(key).alias("key"), F.lit("update").alias("action"), F.col("_error").alias("error"))
     if broken:
         return Written(existing, report.withColumn("error", F.lit(broken)), False)
