@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from quernel.llm.base import checkpoint, components
 from quernel.llm.simhash import forest
 
-#: Rows of one side of a comparison block; a cell is made for about so many vectors.
-CHUNK = 8192
+#: Rows of one side of a comparison block, least and most; a cell is made for about so many vectors. Large chunks are shipped to fewer
+#: blocks, small ones give more blocks to share out, so a chunk has a 32nd of the vectors within these bounds.
+CHUNKS = (2048, 8192)
 #: Rows of a block that are compared at a time.
 STRIP = 512
 #: Most pivots of one vector length. They are broadcast: 4096 * 64 doubles are 2 MB.
@@ -162,7 +163,7 @@ def _compare(least: float):
     return work
 
 
-def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, chunk: int = CHUNK) -> DataFrame:
+def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, chunk: int | None = None) -> DataFrame:
     """(id, ``n_links``, ``component_id``, ``kept``) for every row of ``vectors``: exact, whatever the data.
 
     Two vectors link if their cosine in double precision is at least ``least`` (above 0). Vectors that are null, empty,
@@ -187,6 +188,7 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     )
     counts = {r[0]: r[1] for r in classes.groupBy(F.size("vec")).agg(F.count(F.lit(1))).collect()}
     if counts:
+        chunk = chunk or min(max(sum(counts.values()) // 32, CHUNKS[0]), CHUNKS[1])
         pivots = choose_pivots(classes, counts, radius, chunk)
         first, n_cells = {}, 0
         for width, p in pivots.items():
