@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -11,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.base import give_back, others
+from quernel.llm.base import others, slices
 
 #: Fixed values of the model format: the escaped space, and the piece types.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
-#: Entries of the memo of units, and of piece pairs, that one Python worker keeps before it starts afresh.
+#: Entries of the memo of units, characters of these units, and piece pairs that one Python worker keeps before it starts afresh.
 MEMO = 300_000
+MEMO_CHARS = 3_000_000
 PAIRS = 400_000
+#: Units that are held at a time, whatever the number and length of the texts.
+UNITS = 100_000
 
 
 class Codec:
@@ -53,6 +57,7 @@ class Codec:
         self.unit = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing and kind == BPE else None
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the memo that was full before: words in use move on
+        self.memo_chars = 0
         self.commits, self.widest = 0, 0  # boundaries committed, and the most positions in a window
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
@@ -71,7 +76,7 @@ class Codec:
         return cls([(p.piece, p.score, p.type) for p in m.pieces], m.trainer_spec.model_type, n.add_dummy_prefix, m.trainer_spec.byte_fallback)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "older": {}, "pairs": {}, "halves": {}}
+        return self.__dict__ | {"memo": {}, "older": {}, "memo_chars": 0, "pairs": {}, "halves": {}}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging, best score first, then leftmost; for short texts."""
@@ -253,12 +258,47 @@ class Codec:
         escaped = [(SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE) if t else "" for t in texts]
         if self.unit is None or not self.bytes:
             return [self._ids(p for part in self.stream([t]) for p in part) for t in escaped]
-        units = [self.unit.findall(t) for t in escaped]
+        out: list[list[int]] = [[] for _ in escaped]
+        for block in self._blocks(escaped):
+            fresh = self._learn([own for _, own in block])
+            memo = self.memo
+            for k, own in block:
+                ids = out[k]
+                for u in own:
+                    ids += memo[u]
+            for u in fresh:
+                if len(u) > 4 * self.longest:  # long ones hardly come again
+                    del memo[u]
+        return out
+
+    def _blocks(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        """The units of the texts as (number of the text, some of its units), in order; a block holds some ``UNITS`` of them."""
+        block, n = [], 0
+        for k, t in enumerate(texts):
+            if len(t) <= UNITS:
+                parts = [self.unit.findall(t)]
+            else:
+                found = (m.group() for m in self.unit.finditer(t))
+                parts = iter(lambda found=found: list(itertools.islice(found, UNITS)), [])
+            for own in parts:
+                block.append((k, own))
+                n += len(own)
+                if n >= UNITS:
+                    yield block
+                    block, n = [], 0
+        yield block
+
+    def _learn(self, units: list[list[str]]) -> list[str]:
+        """Afterwards the memo has the ids of all these units; where it would grow too large it starts afresh with them. Returns the units it had not met."""
         memo, older = self.memo, self.older
         missing = {u for own in units for u in own if u not in memo}
-        if len(memo) + len(missing) > MEMO:
+        brief = 4 * self.longest
+        chars = sum(n for n in map(len, missing) if n <= brief)
+        if len(memo) + len(missing) > MEMO or self.memo_chars + chars > MEMO_CHARS:
             self.older, self.memo = older, memo = memo, {}
             missing = {u for own in units for u in own}
+            self.memo_chars, chars = 0, sum(n for n in map(len, missing) if n <= brief)
+        self.memo_chars += chars
         fresh = []
         for u in missing:
             ids = older.get(u)
@@ -271,16 +311,7 @@ class Codec:
         for u, pieces in zip(fresh, self.stream(fresh), strict=True):
             ids = tuple([id_of(p) for p in pieces])
             memo[u] = tuple(self._ids(pieces)) if None in ids else ids
-        out = []
-        for own in units:
-            ids = []
-            for u in own:
-                ids += memo[u]
-            out.append(ids)
-        for u in fresh:
-            if len(u) > 4 * self.longest:  # long ones hardly come again
-                memo.pop(u, None)
-        return out
+        return fresh
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids))
@@ -298,7 +329,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     empty texts have no ids; null has ``round_trip`` null. A text that holds the escaped space itself comes back
     with spaces there, so its ``round_trip`` is false. Whole texts are encoded; rows are independent, so repeated rows get
     equal ids, and an empty table gives no rows. Columns of the input named like a result column are replaced. A very long text
-    is one row of one task: its ids are held, its lattice is a window.
+    is one row of one task: its ids are held, its units come in blocks, its lattice is a window. Rows are taken in stretches of
+    some 2 MB of text, so many long texts need no more memory than one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(model_path))
     keep = [c for c in others(docs, ["ids", "n_ids", "round_trip"]) if c != text_col]
@@ -306,9 +338,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         for batch in batches:
-            step = 512
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in slices(batch, "_text"):
                 texts = part.column("_text").to_pylist()
                 ids = codec.encode_many(texts)
                 same = [None if t is None else codec.decode_bytes(i) == t.encode() for t, i in zip(texts, ids, strict=True)]
@@ -317,7 +347,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
                 flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_ids", "round_trip"])
-        give_back()
 
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

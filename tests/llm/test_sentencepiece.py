@@ -76,3 +76,38 @@ def test_ids_equal_the_library_and_come_back(spark):
     assert all(list(got[i].ids) == library.encode(t) and got[i].round_trip for i, t in enumerate(texts))
     assert got[len(texts)].n_ids == 0 and got[len(texts)].round_trip is None and got[len(texts) + 1].round_trip is False
     assert P.encode(frame.where("false"), MODEL).count() == 0
+
+
+@needs_model
+def test_memory_does_not_grow_with_the_length_of_texts(spark, monkeypatch):
+    """Many long texts are taken a few at a time, and their units in blocks; the memo is bounded by what it holds."""
+    seen = []
+    many = P.Codec.encode_many
+    monkeypatch.setattr(P.Codec, "encode_many", lambda self, texts: seen.append(sum(len(t or "") for t in texts)) or many(self, texts))
+    monkeypatch.setattr(spark.sparkContext.__class__, "broadcast", lambda self, value: type("Local", (), {"value": value})())
+    frame = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    tasks = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, work, schema: tasks.append(work) or self)
+    P.encode(frame, MODEL)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(100_000)) for _ in range(8)] + [None, ""]
+    batch = P.pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "_text": texts})
+    made = [r for b in tasks[0](iter([batch])) for r in b.to_pylist()]
+    assert [r["round_trip"] for r in made] == [True] * 8 + [None, True] and [r["doc_id"] for r in made] == list(range(10))
+    assert max(seen) < 3_000_000 and sum(seen) == sum(len(t or "") for t in texts)
+
+
+@needs_model
+def test_blocks_and_a_full_memo_change_no_ids(monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(P, "UNITS", 50)
+    monkeypatch.setattr(P, "MEMO_CHARS", 2000)
+    codec, rng = P.Codec.load(MODEL), random.Random(3)
+    words = ["".join(rng.choices("abcdefgh日本ü", k=rng.choice((1, 5, 30, 60, 90)))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) + end for n in (0, 1, 49, 50, 51, 400) for end in ("", "\n\n", "  x")]
+    for _ in range(2):
+        assert codec.encode_many([*texts, None]) == [*map(library.encode, texts), []]
+        assert sum(map(len, codec.memo)) <= 2000 + 51 * 64 + 1000 and all(len(u) <= 4 * codec.longest for u in codec.memo)
+        assert sum(map(len, codec.memo)) == codec.memo_chars
