@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,8 +62,13 @@ _BARE = re.compile(r"""(?!//)[A-Za-z0-9+/_.~$%@!^*-][^\s"'`,;(){}\[\]<>&]*+""",
 _MEMBER = re.compile(r"[A-Za-z_]++(?:\.[A-Za-z_]++)++", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 _BLANKS = re.compile(r"[ \t]*+")
-#: Characters of a value that count for its score.
-HEAD = 256
+#: Placeholders of fixed text are no longer than this; longer values are told by their first characters and by what they hold.
+EDGE = 16
+_OPEN_PLACEHOLDER = re.compile("your|example", re.ASCII | re.IGNORECASE)
+#: Kinds of characters a value can hold: the four classes of the score, then those that rule out a placeholder.
+_HOLDS = [re.compile(p, re.ASCII) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]", "[^xX]", r"[^*]", r"[^.]", r"[^\w-]", r"\n")]
+_CLASSES, _NOT_X, _NOT_STAR, _NOT_DOT, _NOT_NAME, _BREAK = 15, 16, 32, 64, 128, 256
+_NO_WORD = re.compile(r"\W", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -82,19 +90,85 @@ def name_weight(name: str) -> int:
     return sum(w for k, w in SENSITIVE.items() if k in words or k in pairs)
 
 
+class Value(NamedTuple):
+    """What the score needs to know of a whole value but its entropy. That of two values joined follows from theirs."""
+
+    size: int  # up to ``2 * EDGE``, which stands for any greater one
+    start: str  # its first ``EDGE`` characters
+    last: str
+    holds: int  # a bit for each of ``_HOLDS``
+    no_word: int  # characters that are not ``\w``; 3 stands for any greater number
+    blank: bool  # white space only
+    lead: bool  # a space in the white space it begins with
+    inner: bool  # a space between other characters
+    trail: bool  # a space in the white space it ends with
+
+    @classmethod
+    def of(cls, text: str) -> Value:
+        inner, tail = text.strip(), text[len(text.rstrip()) :]
+        holds = sum(1 << k for k, p in enumerate(_HOLDS) if p.search(text))
+        no_word = sum(1 for _ in itertools.islice(_NO_WORD.finditer(text), 3))
+        return cls(min(len(text), 2 * EDGE), text[:EDGE], text[-1:], holds, no_word, not inner, " " in text[: len(text) - len(text.lstrip())], " " in inner, " " in tail)
+
+    def joined(self, b: Value) -> Value:
+        if self.blank:
+            spaces = b.blank, self.lead or b.lead, b.inner, b.trail or b.blank and self.trail
+        elif b.blank:
+            spaces = False, self.lead, self.inner, self.trail or b.trail
+        else:
+            spaces = False, self.lead, self.inner or self.trail or b.lead or b.inner, b.trail
+        return Value(min(self.size + b.size, 2 * EDGE), (self.start + b.start)[:EDGE], b.last or self.last, self.holds | b.holds, min(self.no_word + b.no_word, 3), *spaces)
+
+    def placeholder(self) -> bool:
+        """Whether ``_PLACEHOLDER`` matches the whole value."""
+        if self.size <= EDGE:
+            return bool(_PLACEHOLDER.fullmatch(self.start))
+        holds, start, last = self.holds, self.start, self.last
+        return (
+            not (holds & _NOT_X and holds & _NOT_STAR and holds & _NOT_DOT)
+            or not holds & _NOT_NAME and bool(_OPEN_PLACEHOLDER.match(start))
+            or not holds & _BREAK and (start[0] == "<" and last == ">" or start[:2] == "${" and last == "}")
+            or start[0] == "$" and self.no_word == 1
+            or start[0] == "%" and last == "%" and self.no_word == 2
+        )
+
+
+def _bits(counts: dict[str, int]) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values() if c) if n else 0.0
+
+
 def entropy(value: str) -> float:
     """Bits a character."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+    return _bits(Counter(value))
+
+
+def _tally(parts: list[tuple[dict[str, int], int]]) -> tuple[dict[str, int], int]:
+    """Characters of joined values as counts and the power of two to multiply them by, which is 0 up to 2**60 characters."""
+    if len(parts) == 1:
+        return parts[0]
+    power, out = max(p for _, p in parts), {}
+    for counts, p in parts:
+        for c, n in counts.items():
+            out[c] = out.get(c, 0) + (n >> power - p)
+    if (total := sum(out.values())) >> 60:
+        less = total.bit_length() - 60
+        out, power = {c: n >> less for c, n in out.items()}, power + less
+    return out, power
+
+
+def _plain_score(weight: int, value: Value) -> float:
+    """The score but for the entropy."""
+    if weight == 0 or value.size < 6 or value.placeholder() or value.inner:
+        return 0.0
+    classes = (value.holds & _CLASSES).bit_count()
+    return float(weight + (value.size >= 16) + (classes >= 2) + (classes >= 3))
 
 
 def score(name: str, value: str) -> float:
-    """Weight of the name plus what the literal shows: length, characters of several classes, entropy; placeholders score 0."""
-    weight = name_weight(name)
-    if weight == 0 or len(value) < 6 or _PLACEHOLDER.fullmatch(value) or " " in value.strip():
-        return 0.0
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return weight + (len(value) >= 16) + (classes >= 2) + (classes >= 3) + (entropy(value) >= 3.0)
+    """Weight of the name plus what the whole literal shows: length, characters of several classes, entropy; placeholders score 0."""
+    plain = _plain_score(name_weight(name), Value.of(value))
+    return plain + (plain > 0 and entropy(value) >= 3.0)
 
 
 def _tokens(text: str) -> list[tuple[str, int, int]]:
@@ -128,16 +202,18 @@ class Assignments:
     (also through several names). Types are skipped in Python's, Rust's and Go's order. A value without quotes is a literal
     up to white space or a separator if its target is sensitive, unless it is a known name, a member or a call.
 
-    A constant that is used again is referred to, never copied, so work and memory are in proportion to the text; of its value the first
-    ``HEAD`` characters are kept.
+    A constant that is used again is referred to, never copied, so work and memory are in proportion to the text. What the score needs
+    of a value is worked out from its parts, each once: the whole value counts, however long. Where its entropy decides, the work is one
+    step more for each different character of the value.
     """
 
     def __init__(self, text: str):
         self.text = text
         self.pairs: list[tuple[str, int]] = []
         self.parts: list[list[tuple[int, int] | int]] = []  # of each node: literal spans, or numbers of nodes
-        self.heads: list[str] = []
         self.refused = 0
+        self._values: dict[int, Value] = {}
+        self._counts: dict[int, tuple[dict[str, int], int]] = {}
         self._read()
 
     def _bare(self, at: int, constants: dict) -> tuple[int, int] | None:
@@ -146,8 +222,7 @@ class Assignments:
         at = _BLANKS.match(text, at).end()
         if at < self.refused or not (m := _BARE.match(text, at)) or m.group() in constants or _MEMBER.fullmatch(m.group()):
             return None
-        rest = text[m.end() : m.end() + 80]
-        if rest[:1] in ("(", "[", "{", '"', "'", "`") and rest or rest.lstrip(" \t")[:1] == "+":
+        if text[m.end() : m.end() + 1] in ("(", "[", "{", '"', "'", "`") or text.startswith("+", _BLANKS.match(text, m.end()).end()):
             self.refused = m.end()  # whatever begins within the run ends there too
             return None
         return m.span()
@@ -173,21 +248,17 @@ class Assignments:
             while j < n and tokens[j][1] < start:
                 j += 1
             first = j
-            parts, head = [], ""
+            parts = []
             while j < n:
                 k, s, e = tokens[j]
                 if k == "string":
                     parts.append((s + 1, e - 1))
-                    head += text[s + 1 : min(e - 1, s + 1 + HEAD)]
                 elif k == "number":
                     parts.append((s, e))
-                    head += text[s : min(e, s + HEAD)]
-                elif k == "name" and e - s < HEAD and (known := constants.get(text[s:e])) is not None:
+                elif k == "name" and (known := constants.get(text[s:e])) is not None:
                     parts.append(known)
-                    head += self.heads[known]
                 else:
                     break
-                head = head[:HEAD]
                 j += 1
                 if j < n and tokens[j][0] == "op" and text[tokens[j][1] : tokens[j][2]] == "+":
                     j += 1
@@ -196,16 +267,35 @@ class Assignments:
             only = parts[0] if len(parts) == 1 and not isinstance(parts[0], int) else None
             bare = self._bare(start, constants) if (only or not parts) and name_weight(target) else None
             if bare and (not parts or only[0] == bare[0] and only[1] < bare[1]):
-                parts, head, j = [bare], text[bare[0] : min(bare[1], bare[0] + HEAD)], first
+                parts, j = [bare], first
                 while j < n and tokens[j][1] < bare[1]:
                     j += 1
             if parts:
                 constants[target.strip("\"'`")] = len(self.parts)
                 self.pairs.append((target.strip("\"'`"), len(self.parts)))
                 self.parts.append(parts)
-                self.heads.append(head)
             i = max(j, i + 2) if parts else i + 1
 
+    def _worked_out(self, node: int, known: dict, of: Callable, joined: Callable):
+        """What ``known`` says of a node: ``of`` a literal's text, ``joined`` for a list of such. Nodes it refers to come first."""
+        todo = [node]
+        while todo:
+            if (k := todo[-1]) in known:
+                todo.pop()
+            elif need := [x for x in self.parts[k] if isinstance(x, int) and x not in known]:
+                todo += need
+            else:
+                known[k] = joined([known[x] if isinstance(x, int) else of(self.text[slice(*x)]) for x in self.parts[k]])
+        return known[node]
+
+    def reaches(self, name: str, node: int, least: float) -> bool:
+        """Whether the ``score`` of a name and a node's whole value is at least ``least``."""
+        weight = name_weight(name)
+        plain = _plain_score(weight, self._worked_out(node, self._values, Value.of, lambda x: functools.reduce(Value.joined, x))) if weight else 0.0
+        if plain >= least or plain == 0 or plain + 1 < least:
+            return plain >= least
+        return _bits(self._worked_out(node, self._counts, lambda x: (Counter(x), 0), _tally)[0]) >= 3.0
+
     def literals(self, nodes: list[int]) -> set[tuple[int, int]]:
         """Spans of the literals that the nodes' values are made of; each node is entered once."""
         found, seen, todo = set(), set(nodes), list(nodes)
@@ -225,7 +315,7 @@ def literal_spans(text: str, least: float = 5.0) -> list[tuple[str, int, int]]:
     if not any(x in low for x in _TARGET_SEEDS):
         return []
     found = Assignments(text)
-    secret = found.literals([node for name, node in found.pairs if score(name, found.heads[node]) >= least])
+    secret = found.literals([node for name, node in found.pairs if found.reaches(name, node, least)])
     return [("literal", a, b) for a, b in sorted(secret) if b > a]
 
 

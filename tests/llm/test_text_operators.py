@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,69 @@ def test_values_without_quotes_and_typed_targets(line, value):
     assert [line[a:b] for _, a, b in S.literal_spans(line)] == ([value] if value else [])
 
 
+HARD = "Zx9qW7rT2"
+
+
+@pytest.mark.parametrize(
+    ("line", "found"),
+    [
+        ('pwd = "' + "a" * 300 + '"', False),
+        ('pwd = "' + "a" * 300 + HARD + '"', True),  # what makes it a secret comes late
+        ("pwd=" + "a" * 300 + HARD, True),
+        ('pwd = "' + HARD * 40 + ' and plain words"', False),  # as does what shows that it is none
+        ('pwd = "<' + HARD * 40 + '>"', False),
+        ('pwd = "${' + HARD * 40 + '}"', False),
+        ('pwd = "your-' + HARD * 40 + '"', False),
+        ('pwd = "your-' + HARD * 40 + '/"', True),
+        ('pwd = "' + "x" * 300 + '"', False),
+        ('pwd = "' + "ab" * 200 + "cdefghijklmnop" * 30 + '"', True),  # by its entropy
+        ('a = "' + "a" * 300 + '"\nb = a + "' + HARD + '"\npwd = b', True),
+        ("c" * 300 + f' = "{HARD}"\npwd = ' + "c" * 300, True),
+        (f"pwd = {HARD}" + " " * 100 + "+ x", False),
+    ],
+)
+def test_the_whole_value_counts(line, found):
+    assert bool(S.literal_spans(line)) == found
+
+
+def plain_score(name, value):
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    weight = S.name_weight(name)
+    if weight == 0 or len(value) < 6 or S._PLACEHOLDER.fullmatch(value) or " " in value.strip():
+        return 0.0
+    return weight + (len(value) >= 16) + (classes >= 2) + (classes >= 3) + (S.entropy(value) >= 3.0)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 9), st.sampled_from(["", " ", "\t", "a", "x", "X" * 9, "*" * 20, "....", "your", "example-", "$", "${", "}", "%", "<", ">", "a1" * 9, "B_", "é", "abcdefgh", "-"])), min_size=1, max_size=4), min_size=1, max_size=7))
+def test_scores_of_joined_values_equal_those_of_their_texts(rows):
+    """Each row is a constant of literals and earlier constants; every node scores like the text it stands for."""
+    lines, values = [], []
+    for i, row in enumerate(rows):
+        parts = [x % i if isinstance(x, int) and i else str(x) for x in row]
+        lines.append(f"v{i}_key = " + " + ".join(f"v{x}_key" if isinstance(x, int) else f'"{x}"' for x in parts))
+        values.append("".join(values[x] if isinstance(x, int) else x for x in parts))
+    got = S.Assignments("\n".join(lines))
+    assert [name for name, _ in got.pairs] == [f"v{i}_key" for i in range(len(rows))]
+    for (name, node), value in zip(got.pairs, values, strict=True):
+        assert S.score(name, value) == plain_score(name, value)
+        for target in (name, "pwd", "client_id", "client_secret", "host"):
+            for least in range(8):
+                assert got.reaches(target, node, least) == (plain_score(target, value) >= least)
+
+
+def test_work_on_values_is_in_proportion_to_the_text():
+    """Constants that double on each line, long chains, and many names of one long value; entropy decides in all of them."""
+    n = 5000
+    doubled = '\n'.join(['key0 = "aB1"', *(f"key{i} = key{i - 1} + key{i - 1}" for i in range(1, n))])
+    chain = '\n'.join(['pwd0 = "abababababababababab"', *(f'pwd{i} = pwd{i - 1} + "ab"' for i in range(1, n))])
+    names = '\n'.join(['part = "' + "ab" * 100_000 + '"', *(f"pwd{i} = part" for i in range(n))])
+    for text, found in ((doubled, 0), (chain, 0), (names, 0), (chain + '\npwd = pwd0 + "cdefghijklmnopqr"', 2)):
+        began = time.process_time()
+        assert len(S.literal_spans(text)) == found
+        assert time.process_time() - began < 5
+
+
 # -- chat formatting ----------------------------------------------------------------------------------------------------
 NASTY = st.lists(st.sampled_from([*C.CONTROL, "\\", "[", "<", "INST]", "</s", " ok ", "é", "\n", "[INST] x [/INST]"]), max_size=8).map("".join)
 
