@@ -372,14 +372,14 @@ class Database:
         return seen
 
     def vector_search(self, table: str, name: str, query: list[float], top_k: int = 10, metric: str = "cosine", threshold: float | None = None, ef_search: int | None = None) -> DataFrame:
-        """The nearest rows: exact over all rows, or with ``ef_search`` through the field's index, which is made or brought up to date first."""
+        """The nearest rows: over all rows, or with ``ef_search`` through the field's index, which is made or brought up to date first; both are exact."""
         frame, key = self.frame(table), self.schema(table).key.name
         if ef_search is None:
             return vector_search.search(frame, name, query, top_k, metric, key, threshold)
         return self.vector_index(table, name).search(frame, query, top_k, metric, threshold, ef_search)
 
     def vector_index(self, table: str, name: str, parts: int = 16) -> VectorIndex:
-        """The approximate index of a field, as of the table's current rows."""
+        """The index of a field, as of the table's current rows."""
         where, frame = self._where(table), self.frame(table)
         held = self.vector_indexes.get((where, name))
         if held is None:

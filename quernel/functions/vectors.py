@@ -23,9 +23,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity; 0 where a norm is 0."""
-    n = norm(a) * norm(b)
-    return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(n, F.lit(0.0)))
+    """Similarity, from -1 to 1; 0 where a norm is 0. One root of both squares, as in SQL engines, so that parallel vectors tie as they do there."""
+    aa, bb = dot(a, a), dot(b, b)
+    n = F.when((aa * bb).between(1e-290, 1e290), F.sqrt(aa * bb)).otherwise(F.sqrt(aa) * F.sqrt(bb))
+    c = dot(a, b) / F.nullif(n, F.lit(0.0))
+    return F.when(n == 0, F.lit(0.0)).when(c > 1, F.when(F.isnan(c), c).otherwise(F.lit(1.0))).when(c < -1, F.lit(-1.0)).otherwise(c)
 
 
 def l2(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""An approximate vector index: product-quantised codes are scanned, the best candidates are ranked anew by exact distance."""
+"""A vector index: product-quantised codes are scanned, and rows that their codes cannot rule out are ranked by exact distance."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import vectors as V
@@ -15,6 +15,10 @@ from quernel.functions import vectors as V
 SAMPLE = 20_000
 #: Centroids of a codebook: a code is a byte.
 CENTROIDS = 256
+#: Keys that are broadcast at most; where the codes leave more rows, all rows are searched.
+MOST_KEYS = 100_000
+#: Rounding of a bound, as a share of what it is computed from.
+SLACK = 1e-9
 
 
 class ProductQuantizer:
@@ -41,6 +45,10 @@ class ProductQuantizer:
         """A byte for each part of each row."""
         return np.stack([_nearest(x[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], 1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The centroids that codes stand for, joined."""
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], 1)
+
     def tables(self, query: np.ndarray, metric: str) -> np.ndarray:
         """For each part and centroid what it adds to the squared distance from the query, or to minus the inner product."""
         out = np.zeros((len(self.books), CENTROIDS))
@@ -58,10 +66,11 @@ def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 class VectorIndex:
-    """Codes of all vectors of one field: (key, hash of the vector, code, norm), ``parts`` bytes a vector.
+    """Codes of all vectors of one field: (key, hash of the vector, code, norm, gap), ``parts`` bytes a vector; the gap is how far code and vector are apart.
 
-    A search scans the codes with one look-up a part, takes ``ef`` candidates and ranks them by exact distance. ``refresh`` follows
-    the table: rows that are new or changed are encoded, codes of rows that are gone are dropped. Vectors that are null or of another
+    A search scans the codes with one look-up a part and takes ``ef`` candidates. Their exact distances bound that of the k-th neighbour;
+    by code and gap no other row can be nearer than a lower bound. All rows whose lower bound is within the k-th distance are ranked by exact
+    distance, so the result is that of a search over all rows, however many copies crowd the candidates. ``refresh`` follows the table: rows that are new or changed are encoded, codes of rows that are gone are dropped. Vectors that are null or of another
     width than the first sample's are not indexed, as they are no neighbours in an exact search either.
     """
 
@@ -92,41 +101,67 @@ class VectorIndex:
                 if b.num_rows:
                     x = b.column("v").values.to_numpy(zero_copy_only=False)[b.column("v").offsets.to_numpy()[0] :][: b.num_rows * shared.value.width].reshape(b.num_rows, -1)
                     codes = shared.value.encode(np.nan_to_num(x))
-                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt((x * x).sum(1)))], names=["key", "h", "code", "norm"])
+                    off = x - shared.value.decode(codes)
+                    sizes = [pa.array(np.sqrt((v * v).sum(1))) for v in (x, off)]
+                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), pa.array([c.tobytes() for c in codes], pa.binary()), *sizes], names=["key", "h", "code", "norm", "gap"])
 
         kept, fresh = None, rows
         if self.codes is not None:
             now = rows.select("key", "h")
             kept = self.codes.join(now, ["key", "h"], "left_semi")
             fresh = rows.join(self.codes.select("key", "h"), ["key", "h"], "left_anti")
-        made = fresh.mapInArrow(encode, f"key {kind}, h long, code binary, norm double")
+        made = fresh.mapInArrow(encode, f"key {kind}, h long, code binary, norm double, gap double")
         self.codes = self.persist(made if kept is None else kept.unionByName(made))
 
-    def candidates(self, query: list[float], ef: int, metric: str) -> DataFrame:
-        """(key) of the ``ef`` rows that are nearest by their codes, in one scan and a bounded top-k in each task."""
+    def _by_code(self, query: list[float], metric: str, lower: bool) -> Column:
+        """The distance of a code, up to a constant; or a lower bound of the vector's distance, NaN where its components are no bound."""
         q = np.array(query, float)
         tables, parts = self.quantizer.tables(q, metric), len(self.quantizer.books)
         size = float(np.sqrt(q @ q))
 
-        def measure(codes: pa.Array, norms: pa.Array) -> pa.Array:
+        def measure(codes: pa.Array, norms: pa.Array, gaps: pa.Array) -> pa.Array:
             flat = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, parts)
             d = tables[np.arange(parts)[None, :], flat].sum(1)
+            norm, gap = norms.to_numpy(zero_copy_only=False), gaps.to_numpy(zero_copy_only=False)
+            if lower and metric == "l2":
+                d = np.sqrt(d) - gap - SLACK * (norm + gap + size)
+            elif lower:
+                d = d - size * gap - SLACK * size * (norm + gap)
             if metric == "cosine":
-                n = norms.to_numpy() * size
-                d = np.divide(d, n, out=np.zeros_like(d), where=n > 0)
-            return pa.array(d)
+                n = norm * size
+                d = lower + np.divide(d, n, out=np.where(n == 0, 0.0, np.nan), where=n > 0)
+            return pa.array(d, from_pandas=False)
+
+        return F.arrow_udf(measure, "double")("code", "norm", "gap")
 
-        near = self.codes.select("key", F.arrow_udf(measure, "double")("code", "norm").alias("d"))
+    def candidates(self, query: list[float], ef: int, metric: str) -> DataFrame:
+        """(key) of the ``ef`` rows that are nearest by their codes, in one scan and a bounded top-k in each task."""
+        near = self.codes.select("key", self._by_code(query, metric, False).alias("d"))
         return near.orderBy("d", "key").limit(ef).select(F.col("key").alias("_key"))
 
+    def within(self, query: list[float], limit: float, metric: str) -> DataFrame:
+        """(key) of the rows that can be as near as ``limit``."""
+        low = self.codes.select(F.col("key").alias("_key"), self._by_code(query, metric, True).alias("low"))
+        return low.where(F.isnan("low") | (F.col("low") <= F.lit(float(limit)))).select("_key")
+
     def search(self, frame: DataFrame, query: list[float], k: int = 10, metric: str = "cosine", threshold: float | None = None, ef: int | None = None) -> DataFrame:
-        """(key, distance, score) of about the ``k`` nearest rows: exact distances of ``ef`` candidates, max(5k, 32) if not given."""
+        """(key, distance, score) of the ``k`` nearest rows, ties by key; ``ef`` candidates, max(5k, 32) if not given, bound what is ranked."""
         from quernel.operators.vector_search import search
 
-        if self.quantizer is None or len(query) != self.quantizer.width:
-            return search(frame, self.field, query, k, metric, self.key, threshold)
-        found = F.broadcast(self.candidates(query, max(ef or max(5 * k, 32), k), metric))  # ``ef`` keys
-        return search(frame.join(found, F.col(self.key) == F.col("_key"), "left_semi"), self.field, query, k, metric, self.key, threshold)
+        def among(keys: DataFrame | None, least: float | None) -> DataFrame:
+            rows = frame if keys is None else frame.join(F.broadcast(keys), F.col(self.key) == F.col("_key"), "left_semi")
+            return search(rows, self.field, query, k, metric, self.key, least)
+
+        ef = max(ef or max(5 * k, 32), k)
+        if self.quantizer is None or len(query) != self.quantizer.width or ef > MOST_KEYS:
+            return among(None, threshold)
+        n, limit = among(self.candidates(query, ef, metric), None).agg(F.count(F.lit(1)), F.max("distance")).first()
+        if n < k:
+            limit = np.inf
+        elif limit is None:  # null distances come first
+            limit = -np.inf
+        keys = self.within(query, limit if threshold is None else min(limit, threshold), metric)
+        return among(keys if keys.count() <= MOST_KEYS else None, threshold)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> float:

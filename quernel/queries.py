@@ -306,7 +306,7 @@ for _m, _d, _s in (
 
 @q("vector_ann", "SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, 1 - list_cosine_similarity(v, q) AS d FROM " + VEC + " t) u ORDER BY d, vec_id LIMIT 1")
 def vector_ann(d: Database) -> DataFrame:
-    """The nearest row through the approximate index (the query's own vector, whose codes are nearest too)."""
+    """The nearest row through the index: rows that codes do not rule out are ranked by exact distance."""
     out = d.vector_search("embeddings", "embedding", _query_vector(d), 1, "cosine", ef_search=64)
     return out.select("vec_id", F.round("distance", 6).alias("distance"))
 

@@ -173,3 +173,37 @@ def test_approximate_search(spark):
     near = db.vector_search("v", "e", x[5].tolist(), 1, "l2", ef_search=50).collect()
     assert [(r.id, round(r.distance, 6)) for r in near] == [(7, 0.0)] and db.vector_index("v", "e") is index and index.codes.count() == 3000
     assert db.vector_search("v", "e", x[9].tolist(), 3, "l2", threshold=0.5, ef_search=50).count() == 1
+
+
+def test_index_search_equals_search_over_all_rows(spark):
+    """Copies of rows whose codes are nearer crowd the candidates; the nearest rows are found all the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32)).astype("float32")
+    rows = [(i + 10_000 * g, v.tolist()) for g in range(12) for i, v in enumerate(x)] + [(-1, None), (-2, [0.0] * 32), (-3, [float("nan")] * 32)]
+    db = Database.memory(spark, [Table("v", (Field("e", T.vector, width=32),))])
+    db._set({"v": spark.createDataFrame(rows, "id long, e array<float>").repartition(3)})
+    for metric in ("cosine", "l2", "ip"):
+        for q in (x[0], rng.normal(size=32) * 0.3):
+            for k, threshold in ((1, None), (30, 0.4)):
+                found = [db.vector_search("v", "e", q.tolist(), k, metric, threshold, ef_search=ef).collect() for ef in (None, 40)]
+                assert found[0] == found[1], (metric, k, threshold)
+
+
+def test_parallel_vectors_tie_as_in_sql(spark):
+    """Single-precision vectors, whose products are exact in double precision."""
+    import duckdb
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(4, 64)).astype("float32").astype(float)
+    rows = [(i * 100 + j, (v * k).astype("float32").tolist()) for i, v in enumerate(x) for j, k in enumerate((1.0, 3.0, 0.1, 1 / 3, 7.7, 1e-5, 123.4, 0.9))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, e DOUBLE[])")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    db = Database.memory(spark, [Table("v", (Field("e", T.vector, width=64),))])
+    db._set({"v": spark.createDataFrame(rows, "id long, e array<double>")})
+    for q in x.tolist():
+        want = con.execute("SELECT id FROM t ORDER BY 1 - list_cosine_similarity(e, ?::DOUBLE[]), id LIMIT 12", [q]).fetchall()
+        for ef in (None, 20):
+            assert [(r.id,) for r in db.vector_search("v", "e", q, 12, "cosine", ef_search=ef).collect()] == want
